@@ -1,14 +1,16 @@
 """The queries of this subpackage, by name, and their SQL."""
 from __future__ import annotations
 
-from braid.llm import exact_dedup, licenses, line_dedup, mixing
+from braid.llm import bpe, exact_dedup, licenses, line_dedup, media, mixing
 
 
 def queries() -> dict:
     return {
+        "op1_bpe": bpe.op1_bpe,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_mixing": mixing.op7_mixing,
+        "op9_media": media.op9_media,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
 
