@@ -38,7 +38,8 @@ def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(row_id, row_hash, bitmap array<struct<word, mask>>): bit p mod 63 of word p div 63 is set if line p goes. Words without a
     set bit aren't stored and documents without a dropped line have no row. keep_first leaves each line's first place."""
     lines = written(line_keys(docs, id_col, text_col), "lines")
-    common = first_occurrences(lines, n_partitions(docs.sparkSession)).filter(F.col("n_docs") >= min_docs)
+    # written, so that both sides of the join below are plain exchanges and a common line's partition can be split
+    common = written(first_occurrences(lines, n_partitions(docs.sparkSession)).filter(F.col("n_docs") >= min_docs), "common")
     gone = lines.join(common, ["h1", "h2"])
     if keep_first:
         gone = gone.filter(F.struct("row_id", "row_hash", "pos") != F.col("first"))
