@@ -1,13 +1,14 @@
 """The queries of this subpackage, by name, and their SQL."""
 from __future__ import annotations
 
-from braid.llm import bpe, exact_dedup, licenses, line_dedup, media, mixing, simhash
+from braid.llm import bpe, exact_dedup, licenses, line_dedup, media, mixing, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op5_simhash": simhash.op5_simhash,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_mixing": mixing.op7_mixing,
