@@ -1,7 +1,7 @@
 """The queries of this subpackage, by name, and their SQL."""
 from __future__ import annotations
 
-from braid.llm import bpe, exact_dedup, licenses, line_dedup, media, mixing, simhash, toxicity
+from braid.llm import bpe, exact_dedup, licenses, line_dedup, media, mixing, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op1_bpe": bpe.op1_bpe,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_simhash": simhash.op5_simhash,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_mixing": mixing.op7_mixing,
@@ -20,6 +21,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.OP2_SQL,
+        "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op6_license_scan": licenses.OP6_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
