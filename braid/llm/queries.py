@@ -1,7 +1,7 @@
 """The queries of this subpackage, by name, and their SQL."""
 from __future__ import annotations
 
-from braid.llm import bpe, exact_dedup, licenses, line_dedup, media, mixing, simhash, substring_dedup, toxicity
+from braid.llm import bpe, exact_dedup, licenses, line_dedup, media, mixing, pii, simhash, substring_dedup, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_mixing": mixing.op7_mixing,
+        "op8_pii": pii.op8_pii,
         "op9_media": media.op9_media,
         "op10_line_dedup": line_dedup.op10_line_dedup,
     }
