@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights, cap: float) -> DataFrame:
         .withColumn("capped", cap * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
         .withColumn("level", (F.col("total") - F.col("capped")) / F.sum("weight").over(onward))
     )
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
+    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "no_src", "src", "level"))).over(every)["level"]
     return ranked.withColumn("fill", level).select(
         "src", "no_src", "source_size", "klass", F.least(cap * F.col("source_size"), F.col("weight") * F.coalesce("fill", F.lit(0.0))).alias("target")
     )
@@ -141,7 +141,7 @@ filled AS (
          3 * coalesce(sum(source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS capped,
          sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS others
   FROM weighed),
-level AS (SELECT min((total - capped) / others) AS fill FROM filled WHERE ratio >= (total - capped) / others),
+level AS (SELECT first((total - capped) / others ORDER BY ratio, source NULLS LAST) AS fill FROM filled WHERE ratio >= (total - capped) / others),
 goals AS (SELECT source, source_size, klass, least(3.0::DOUBLE * source_size, weight * coalesce(fill, 0)) AS target FROM filled, level),
 placed AS (
   SELECT s.doc_id, s.size, g.source_size, g.target, g.klass,
