@@ -126,7 +126,8 @@ def links(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE) -
     for level in (1, 2, 3):
         keyed = crowd.select("fp", F.expr(f"explode({variants(level)})").alias("k")).select("fp", "k.k1", "k.k2")
         sizes = written(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        members = written(keyed.join(sizes, ["k1", "k2"]), "members")
+        # merged, however small sizes is: both sides are exchanged, and the partition of a crowded key can be split
+        members = written(keyed.join(sizes.hint("merge"), ["k1", "k2"]), "members")
         dropped(sizes)
         found.append(written(bucket_links(members.filter(F.col("n") <= bucket) if level < 3 else members, n, distance), "found"))
         crowd = members.filter(F.col("n") > bucket).select("fp", "k1", "k2")
