@@ -120,7 +120,7 @@ def merge_profiles(profiles: DataFrame, cfg: FusionConfig | None = None) -> Data
         return F.when(_some(p["emails"]), truthy(F.get(p["emails"], F.lit(0)))).otherwise(truthy(p["email"]))
 
     def phones(p):
-        return F.filter(F.transform(_either(p["phones"], p["phone"]), lambda x: normalize_phone(x, cfg)), lambda x: x.isNotNull())
+        return _either(p["phones"], p["phone"])
 
     names = F.filter(F.transform(ps, lambda p, i: F.struct(F.length(full(p)).alias("n"), (-i).alias("i"), full(p).alias("v"), p["source"].alias("source"))), lambda x: x["v"].isNotNull())
     leads = F.filter(F.transform(ps, lambda p, i: F.struct((-confidence(p["source"], "emails", cfg)).alias("c"), p["prio"], i.alias("i"), trimmed(F.lower(lead(p))).alias("v"), p["source"].alias("source"))), lambda x: x["v"].isNotNull())
