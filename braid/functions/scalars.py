@@ -14,6 +14,11 @@ MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?
 EMAIL_FORM = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x evaluated once: where f uses x more than once, a plan would otherwise repeat the whole expression."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
 def trimmed(x: Column) -> Column:
     """Without white space of any kind at the ends; trim() knows the space only."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
@@ -38,22 +43,26 @@ def lookup(table: dict, key: Column, otherwise: Column | None = None) -> Column:
 def normalize_phone(raw: Column, cfg: FusionConfig = DEFAULT, need_plus: bool = False) -> Column:
     """E.164, or null. Numbers without + are read as dialled in the configured region, with its trunk or international prefix."""
     code, international = REGIONS[cfg.region]
-    text = trimmed(raw)
-    digits = F.regexp_replace(text, "[^0-9]", "")
-    plus = text.rlike(r"^[(\s]*\+")
-    abroad = F.when(plus, digits).when(F.lit(not need_plus) & digits.startswith(international), F.substring(digits, len(international) + 1, 20))
     anywhere = "|".join(f"{c}(?:{national})" for c, national in cfg.phones.items())
-    at_home = F.regexp_extract(digits, f"^(?:{code}|0)?({cfg.phones[code]})$", 1)
-    number = F.when(abroad.rlike(f"^(?:{anywhere})$"), F.concat(F.lit("+"), abroad))
-    if not need_plus:
-        number = F.coalesce(number, F.when(~plus & (at_home != ""), F.concat(F.lit("+" + code), at_home)))
-    return F.when(~text.rlike("[A-Za-z]"), number)
+
+    def from_digits(v: Column) -> Column:
+        digits, plus = v["digits"], v["plus"]
+        abroad = F.when(plus, digits).when(F.lit(not need_plus) & digits.startswith(international), F.substring(digits, len(international) + 1, 20))
+        number = let(abroad, lambda n: F.when(n.rlike(f"^(?:{anywhere})$"), F.concat(F.lit("+"), n)))
+        if not need_plus:
+            home = truthy(F.regexp_extract(digits, f"^(?:{code}|0)?({cfg.phones[code]})$", 1))
+            number = F.coalesce(number, F.when(~plus, F.concat(F.lit("+" + code), home)))
+        return F.when(~v["letters"], number)
+
+    return let(trimmed(raw), lambda t: let(F.struct(F.regexp_replace(t, "[^0-9]", "").alias("digits"), t.rlike(r"^[(\s]*\+").alias("plus"), t.rlike("[A-Za-z]").alias("letters")), from_digits))
 
 
 def normalize_date(raw: Column) -> Column:
     """YYYY-MM, 'present', or null. Month first unless that can't be; parts that are missing count as January and 2000."""
-    x = trimmed(raw)
-    z = F.lower(F.trim(F.regexp_replace(x, r"[.,\s]+", " ")))
+    return let(trimmed(raw), lambda x: let(F.lower(F.trim(F.regexp_replace(x, r"[.,\s]+", " "))), lambda z: _month(x, z)))
+
+
+def _month(x: Column, z: Column) -> Column:
     named = ((F.instr(F.lit(MONTHS), F.substring(F.regexp_extract(z, MONTH, 1), 1, 3)) + 2) / 3).cast("int")
 
     def part(pattern: str, group: int) -> Column:
@@ -97,8 +106,10 @@ def canonical_skills(raw: Column, cfg: FusionConfig = DEFAULT) -> Column:
 
 def parse_location(raw: Column) -> Column:
     """struct<city, region, country>; null for blank text. Two parts are a US place if the second is two capitals."""
-    text = trimmed(raw)
-    parts = F.filter(F.transform(F.split(text, ","), trimmed), lambda p: p != "")
+    return let(trimmed(raw), lambda text: let(F.filter(F.transform(F.split(text, ","), trimmed), lambda p: p != ""), lambda parts: _place(text, parts)))
+
+
+def _place(text: Column, parts: Column) -> Column:
     n, at = F.size(parts), lambda i: F.try_element_at(parts, F.lit(i))
     capital = (F.length(at(2)) == 2) & (F.upper(at(2)) == at(2)) & (F.lower(at(2)) != at(2))
 
@@ -134,8 +145,8 @@ def years_experience(experience: Column, as_of: int | None = None) -> Column:
 def dedupe_ci(values: Column) -> Column:
     """Trimmed, without blanks; of spellings that differ by case the first stays."""
     clean = F.filter(F.transform(values, trimmed), lambda v: v != "")
-    lower = F.transform(clean, F.lower)
-    return F.filter(clean, lambda v, i: F.array_position(lower, F.lower(v)) == i + 1)
+    both = F.struct(clean.alias("v"), F.transform(clean, F.lower).alias("low"))
+    return let(both, lambda b: F.filter(b["v"], lambda v, i: F.array_position(b["low"], F.lower(v)) == i + 1))
 
 
 def email_valid(x: Column) -> Column:
@@ -171,8 +182,11 @@ def common_subsequence(a: Column, b: Column) -> Column:
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     """200 * common subsequence / both lengths, of the words in sorted order. Meant for pairs that are already matched or grouped."""
-    x, y = sorted_tokens(a), sorted_tokens(b)
-    return F.when(F.length(x) + F.length(y) > 0, 200.0 * common_subsequence(x, y) / (F.length(x) + F.length(y))).otherwise(100.0)
+    def ratio(v: Column) -> Column:
+        x, y = v["x"], v["y"]
+        return F.when(F.length(x) + F.length(y) > 0, 200.0 * common_subsequence(x, y) / (F.length(x) + F.length(y))).otherwise(100.0)
+
+    return let(F.struct(sorted_tokens(a).alias("x"), sorted_tokens(b).alias("y")), ratio)
 
 
 def names_match(a: Column, b: Column, cfg: FusionConfig = DEFAULT) -> Column:
@@ -195,9 +209,9 @@ def rounded(x: Column, digits: int = 4) -> Column:
 def overall_confidence(by_field: Column, cfg: FusionConfig = DEFAULT) -> Column:
     """Weighted mean of a map of confidences; 0 for none."""
     entries = F.transform(F.map_entries(by_field), lambda e: F.struct(lookup(cfg.weights, e["key"], F.lit(OTHER_WEIGHT)).alias("w"), e["value"].alias("v")))
-    total = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["w"])
-    weighted = F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["w"] * e["v"])
-    return F.when(total > 0, rounded(weighted / total)).otherwise(0.0)
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w"))
+    sums = F.aggregate(entries, zero, lambda acc, e: F.struct((acc["n"] + e["w"] * e["v"]).alias("n"), (acc["w"] + e["w"]).alias("w")))
+    return let(sums, lambda t: F.when(t["w"] > 0, rounded(t["n"] / t["w"])).otherwise(0.0))
 
 
 def concatenated(columns: list[Column]) -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braid.config import FusionConfig
-from braid.functions.scalars import candidate_id, canonical_skills, confidence, dedupe_ci, normalize_date, normalize_phone, overall_confidence, parse_location, priority, rounded, trimmed, truthy, years_experience
+from braid.functions.scalars import candidate_id, canonical_skills, confidence, dedupe_ci, let, normalize_date, normalize_phone, overall_confidence, parse_location, priority, rounded, trimmed, truthy, years_experience
 from braid.schema import EDUCATION, EXPERIENCE, SOURCE_PROFILE
 
 #: Order of the fields in the confidence and provenance maps.
@@ -31,15 +31,15 @@ def normalized(profiles: DataFrame, cfg: FusionConfig | None = None) -> DataFram
 
 def best_by_key(all_entries: Column, key, beats) -> Column:
     """array<struct<e, i>>: of entries with equal keys the one that no other beats, i being where its key is first met."""
-    indexed = F.transform(all_entries, lambda e, i: F.struct(e.alias("e"), i.alias("i"), key(e).alias("k")))
-    firsts = F.filter(indexed, lambda x: ~F.exists(indexed, lambda y: (y["k"] == x["k"]) & (y["i"] < x["i"])))
+    def found(indexed: Column) -> Column:
+        def winner(k: Column) -> Column:
+            rivals = F.filter(indexed, lambda y: y["k"] == k)
+            best = F.reduce(rivals, F.get(rivals, F.lit(0)), lambda acc, y: F.when(beats(y, acc), y).otherwise(acc))
+            return F.struct(best["e"].alias("e"), F.get(rivals, F.lit(0))["i"].alias("i"))
 
-    def winner(x: Column) -> Column:
-        rivals = F.filter(indexed, lambda y: y["k"] == x["k"])
-        best = F.filter(rivals, lambda y: ~F.exists(rivals, lambda z: beats(z, y)))
-        return F.struct(F.get(best, F.lit(0))["e"].alias("e"), x["i"].alias("i"))
+        return F.transform(F.array_distinct(F.transform(indexed, lambda x: x["k"])), winner)
 
-    return F.transform(firsts, winner)
+    return let(F.transform(all_entries, lambda e, i: F.struct(e.alias("e"), i.alias("i"), key(e).alias("k"))), found)
 
 
 def _key(x: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braid.config import FusionConfig
-from braid.functions.scalars import canonical_skills, normalize_phone
+from braid.functions.scalars import canonical_skills, let, normalize_phone
 from braid.operators.validation import output_warnings
 
 # Fields of the default output, and older names of some.
@@ -94,23 +94,25 @@ class Projection:
 
     def block(self, of: str, keep) -> Column:
         """A map of output keys to what the profile's map `of` holds of their fields; null if it would be empty."""
-        by_key: dict[str, list[Column]] = {}
-        for asked in self.fields:
-            name = OLDER.get(asked, asked)
-            found = [keep(F.try_element_at(F.col(of), F.lit(k))) for k in (name, asked, SHORT.get(name, ""))]
-            by_key.setdefault(self.key(asked), []).insert(0, F.coalesce(*found))
-        pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(*v).alias("v")) for k, v in by_key.items()]), lambda x: x["v"].isNotNull())
-        return F.when(F.size(pairs) > 0, F.map_from_entries(pairs))
+        def pairs(all_: Column) -> Column:
+            by_key: dict[str, list[Column]] = {}
+            for asked in self.fields:
+                name = OLDER.get(asked, asked)
+                found = [keep(F.try_element_at(all_, F.lit(k))) for k in dict.fromkeys((name, asked, SHORT.get(name, name)))]
+                by_key.setdefault(self.key(asked), []).insert(0, F.coalesce(*found))
+            return F.filter(F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(*v).alias("v")) for k, v in by_key.items()]), lambda x: x["v"].isNotNull())
+
+        return let(let(F.col(of), pairs), lambda found: F.when(F.size(found) > 0, F.map_from_entries(found)))
 
     def outputs(self) -> dict[str, tuple[Column, Column]]:
-        """Of each output key, in order: whether it is there, and its value."""
+        """Of each output key, in order: whether it is there (None: if it isn't null), and its value."""
         out = {k: (~missing if self.missing == "omit" else F.lit(True), value) for k, (_, missing, value) in self.values().items()}
         if self.show_confidence:
             block = self.block("confidence", lambda c: F.nullif(c, F.lit(0.0)))
-            out["confidence"] = (block.isNotNull(), block)
+            out["confidence"] = (None, block)
         if self.show_provenance and "provenance" not in out:
             block = self.block("provenance", lambda p: p)
-            out["provenance"] = (block.isNotNull(), block)
+            out["provenance"] = (None, block)
         out["sources_used"] = (F.lit(True), F.col("sources_used"))
         return out
 
@@ -131,10 +133,13 @@ def project_json(profiles: DataFrame, config: dict | None = None, cfg: FusionCon
     Null fields inside values are left out. Warnings come last, if there are any and the profiles have that column."""
     p = Projection(config or {}, profiles.columns, cfg)
 
-    def member(key: str, there: Column, value: Column) -> Column:
-        inner = F.to_json(F.struct(value.alias(key)))
-        text = F.when(value.isNull(), F.lit(json.dumps(key) + ":null")).otherwise(F.substring(inner, F.lit(2), F.length(inner) - 2))
-        return F.when(there, text)
+    def member(key: str, there: Column | None, value: Column) -> Column:
+        def text(inner: Column) -> Column:
+            null = F.lit(None) if there is None else F.lit(json.dumps(key) + ":null")
+            return F.when(inner == "{}", null).otherwise(F.substring(inner, F.lit(2), F.length(inner) - 2))
+
+        out = let(F.to_json(F.struct(value.alias(key))), text)
+        return out if there is None else F.when(there, out)
 
     members = [member(k, there, value) for k, (there, value) in p.outputs().items()]
     if "warnings" in profiles.columns:
