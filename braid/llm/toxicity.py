@@ -50,25 +50,44 @@ class Model:
         return sum(self.weights.get(f, 0.0) for f in features(word))
 
 
-def distinct_texts(rows: list[tuple[str, int]]) -> list[tuple[list[str], int]]:
+class Words(dict):
+    """Numbers of words in lower case, so that documents are small arrays while a model is fitted."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+    def array(self, text: str) -> np.ndarray:
+        return np.fromiter((self[w.lower()] for w in WORD.findall(text)), np.int32)
+
+
+def distinct_texts(rows: list[tuple[str, int]], words: Words) -> list[tuple[np.ndarray, int]]:
     """The words of each text, without texts half of whose sampled shingles stand in earlier ones."""
     out, seen = [], set()
     for text, label in rows:
-        words = [w.lower() for w in WORD.findall(text)]
-        shingles = {s for s in map(hash, zip(words, words[1:], words[2:], words[3:])) if s % 4 == 0} or {hash(tuple(words))}
+        ids = words.array(text)
+        mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums = sum((mixed[k : len(ids) - 3 + k] * np.uint64(2 * k + 1) for k in range(4)), np.zeros(max(0, len(ids) - 3), np.uint64)) if len(ids) > 3 else np.empty(0, np.uint64)
+        shingles = set(sums[sums >> np.uint64(61) == 0].tolist()) or {hash(ids.tobytes())}
         if 2 * len(shingles & seen) < len(shingles):
-            out.append((words, label))
+            out.append((ids, label))
         seen |= shingles
     return out
 
 
-def chosen(docs: list[tuple[list[str], int]]) -> dict[str, float]:
-    """Features and their log ratios."""
-    counts, totals = (Counter(), Counter()), [1, 1]
-    for words, label in docs:
-        totals[label] += 1
-        counts[label].update({f for w in set(words) for f in features(w)})
-    ratios = {f: math.log((n + 0.5) / totals[1]) - math.log((counts[0][f] + 0.5) / totals[0]) for f, n in counts[1].items() if n >= LEAST_DOCS}
+def chosen(docs: list[tuple[np.ndarray, int]], names: list[str]) -> dict[str, float]:
+    """Features and their log ratios. Only features of enough toxic documents are counted in the others."""
+    totals, counts = [1, 1], (Counter(), Counter())
+    for label in (1, 0):
+        for ids, own in docs:
+            if own == label:
+                totals[label] += 1
+                found = {f for i in np.unique(ids).tolist() for f in features(names[i])}
+                counts[label].update(found if label else found & counts[1].keys())
+        if label:
+            for f in [f for f, n in counts[1].items() if n < LEAST_DOCS]:
+                del counts[1][f]
+    ratios = {f: math.log((n + 0.5) / totals[1]) - math.log((counts[0][f] + 0.5) / totals[0]) for f, n in counts[1].items()}
     best = sorted((f for f, r in ratios.items() if r >= LEAST_RATIO), key=lambda f: (-ratios[f] * math.log(counts[1][f] + 1), f))
     return {f: ratios[f] for f in best[:FEATURES]}
 
@@ -78,30 +97,37 @@ def train(rows: list[tuple[str, int]], base_rate: float) -> Model:
     model = Model()
     odds = math.log(max(base_rate, 1e-3) / max(1 - base_rate, 1e-3))
     model.document = np.array([odds, 0, 0])
-    docs = distinct_texts(rows)
-    toxic = chosen(docs)
+    words = Words()
+    docs = distinct_texts(rows, words)
+    names = list(words)
+    toxic = chosen(docs, names)
     if not toxic:
         return model
     numbers = {f: i for i, f in enumerate(toxic, 1)}
+    slots = np.zeros((len(names), SLOTS), np.int32)
+    for i, name in enumerate(names):
+        own = [numbers.get(f, 0) for f in features(name)]
+        slots[i, : len(own)] = own
+    has = slots.any(axis=1)
     marked, clean = [], []
-    for words, label in docs:
-        slots = [[numbers.get(f, 0) for f in features(w)] for w in words]
-        slots = [s + [0] * (SLOTS - len(s)) for s in slots]
-        tags = [int(label and any(s)) for s in slots]
-        for i in range(0, len(words), WINDOW):
-            part = slots[i : i + WINDOW], tags[i : i + WINDOW]
-            if any(map(any, part[0])):
-                marked.append(part)
-            else:
-                clean.append(part)
-    parts = marked[:: max(1, len(marked) // MARKED_WINDOWS)] + clean[:: max(1, len(clean) // CLEAN_WINDOWS)]
-    x, lengths = crf.padded([p[0] for p in parts])
-    y, _ = crf.padded([p[1] for p in parts])
-    w, model.trans, start = crf.fit(x, y, lengths, len(numbers) + 1, 2)
-    model.start = start
+    for ids, label in docs:
+        parts = [ids[i : i + WINDOW] for i in range(0, len(ids), WINDOW)]
+        with_mark = [(p, label) for p in parts if has[p].any()]
+        marked += with_mark
+        if len(with_mark) < len(parts):  # one unmarked sequence of each document, in turn from all of its places
+            rest = [p for p in parts if not has[p].any()]
+            clean.append((rest[len(clean) % len(rest)], label))
+    parts = marked[:: -(-len(marked) // MARKED_WINDOWS) or 1] + clean[:: -(-len(clean) // CLEAN_WINDOWS) or 1]
+    lengths = np.array([len(p) for p, _ in parts], np.int64)
+    x, y = np.zeros((len(parts), WINDOW, SLOTS), np.int64), np.zeros((len(parts), WINDOW), np.int64)
+    for i, (p, label) in enumerate(parts):
+        x[i, : len(p)] = slots[p]
+        y[i, : len(p)] = has[p] & (label == 1)
+    w, model.trans, model.start = crf.fit(x, y, lengths, len(numbers) + 1, 2)
     delta = w[:, 1] - w[:, 0]
     model.weights = {f: float(delta[i]) for f, i in numbers.items() if abs(delta[i]) > 1e-3}
-    found = summaries(model, [[model.score(w) for w in words] for words, _ in docs])[1]
+    by_word = np.where(np.abs(delta) > 1e-3, delta, 0.0)[slots].sum(axis=1)
+    found = summaries(model, [by_word[ids] for ids, _ in docs])[1]
     labels = np.array([label for _, label in docs])
     model.document = logistic(evidence(found), labels, np.where(labels == 1, base_rate / max(labels.mean(), 1e-9), (1 - base_rate) / max(1 - labels.mean(), 1e-9)))
     return model
