@@ -87,9 +87,8 @@ class Projection:
                 continue
             value = self.value(asked)
             missing = self.empty(asked, value)
-            if self.missing == "error":
-                value = F.when(missing, F.raise_error(F.lit(f"Required field '{asked}' is missing from profile"))).otherwise(value)
-            out[self.key(asked)] = (asked, missing, F.when(~missing, value))
+            failure = F.raise_error(F.lit(f"Required field '{asked}' is missing from profile")) if self.missing == "error" else F.lit(None)
+            out[self.key(asked)] = (asked, missing, F.when(missing, failure).otherwise(value))
         return out
 
     def block(self, of: str, keep) -> Column:
