@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braid.config import FusionConfig
-from braid.functions.scalars import names_match, normalize_phone, phones_match, trimmed, truthy
+from braid.functions.scalars import names_match, normalize_phone, phones_match, priority, trimmed, truthy
 
 
 def email_key(x):
@@ -37,8 +37,6 @@ def conflicts(profiles: DataFrame, cfg: FusionConfig | None = None) -> DataFrame
     than the first record under their key. Missing values are no conflict; fusion goes on regardless."""
     cfg = cfg or FusionConfig()
     record = F.struct("source", "email", "phone", F.coalesce(truthy(F.col("name")), truthy(F.col("full_name"))).alias("name"))
-    from braid.functions.scalars import priority
-
     order = Window.partitionBy("candidate_key").orderBy(priority(F.col("source"), cfg), "seq")
     rows = profiles.select("candidate_key", record.alias("r"), F.first(record).over(order).alias("a"), F.row_number().over(order).alias("n"))
     a, r = F.col("a"), F.col("r")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from braid.config import COUNTRIES, PHONES, FusionConfig, aliases
 from braid.functions import scalars as S
-from braid.operators import matching, merge, projection, ranking, validation
+from braid.operators import matching, merge, projection, ranking
 from braid.plans.fusion import fuse, unified
 from braid.sources import api, html, resume, tabular
 
@@ -41,8 +41,7 @@ PHONE_SQL = "'(415) 555-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')"
 
 
 def customers(spark, d) -> DataFrame:
-    nation = F.broadcast(table(spark, d, "nation"))  # a row per country
-    return table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", "c_nationkey",
         F.col("c_name").alias(" Name "),
         F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("EMAIL"),
