@@ -67,6 +67,8 @@ def distinct_texts(rows: list[tuple[str, int]], words: Words) -> list[tuple[np.n
     for text, label in rows:
         ids = words.array(text)
         mixed = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        mixed = (mixed ^ mixed >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed ^= mixed >> np.uint64(29)
         sums = sum((mixed[k : len(ids) - 3 + k] * np.uint64(2 * k + 1) for k in range(4)), np.zeros(max(0, len(ids) - 3), np.uint64)) if len(ids) > 3 else np.empty(0, np.uint64)
         shingles = set(sums[sums >> np.uint64(61) == 0].tolist()) or {hash(ids.tobytes())}
         if 2 * len(shingles & seen) < len(shingles):
