@@ -34,8 +34,15 @@ def first_of(*columns: Column) -> Column:
     return F.coalesce(*[truthy(c) for c in columns])
 
 
+def sql_literal(x) -> str:
+    if isinstance(x, str):
+        return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{x!r}D" if isinstance(x, float) else repr(x)
+
+
 def lookup(table: dict, key: Column, otherwise: Column | None = None) -> Column:
-    literal = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    # one expression to parse, instead of a call into the JVM for each entry
+    literal = F.expr(f"map({', '.join(sql_literal(x) for pair in table.items() for x in pair)})")
     found = F.try_element_at(literal, key)
     return found if otherwise is None else F.coalesce(found, otherwise)
 
