@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text that a worker handles at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Rows of an Arrow batch at most: both Spark and the worker hold whole batches besides.
+BATCH_ROWS = 1000
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -25,7 +27,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
 
 
 def over_texts(df: DataFrame, column: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """df through make()(slice) for each slice of its batches; make runs once per task."""
+    """df through make()(slice) for each slice of its batches; make runs once per task. The session's batches are made smaller."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
 
     def run(batches):
         f = make()

@@ -26,7 +26,7 @@ NO_RANK = np.int32(2**31 - 1)
 #: Rows longer than this go through a heap instead: a matrix's work grows with the square of the length.
 MATRIX_BYTES = 512
 #: Pieces, and characters of them, that a worker remembers before it starts anew.
-CACHE_PIECES, CACHE_CHARS = 600_000, 16_000_000
+CACHE_PIECES, CACHE_CHARS = 250_000, 16_000_000
 #: The characters with the White_Space property.
 WHITE = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")

@@ -220,7 +220,7 @@ class Scores(dict):
 
     def __missing__(self, word: str) -> float:
         score = self.model.score(word)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = score
         return score
