@@ -122,7 +122,8 @@ def links(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE) -
     members are compared in numpy; larger ones are cut by more bits, at most twice, and counted again.
     """
     spark, n = distinct.sparkSession, n_partitions(distinct.sparkSession)
-    found, crowd = [], distinct
+    # few bytes each, but 64 rows of keys: dealt out before they grow, as small inputs end up in few partitions
+    found, crowd = [], distinct.repartition(n, "fp")
     for level in (1, 2, 3):
         keyed = crowd.select("fp", F.expr(f"explode({variants(level)})").alias("k")).select("fp", "k.k1", "k.k2")
         sizes = written(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
