@@ -76,6 +76,6 @@ WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops all but one of each group of equal texts. The columns of docs stay."""
+    """Drops all but one id of each group of equal texts. The columns of docs stay. Rows that repeat a kept id all stay."""
     keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")
