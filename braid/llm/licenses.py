@@ -1,12 +1,15 @@
 """Licence scan: digests of canonical whole texts against known licences, in DataFrame operations only."""
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braid.llm.common import documents, text_or_empty
 
-#: Short licences and grants as published, by SPDX identifier.
+#: Short licences and grants as published, by SPDX identifier. The whole texts of license_texts are added below.
 KNOWN = [
     ("MIT", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -33,6 +36,41 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
+#: Titles that publishers put above a licence whose text has none of its own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng license", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: The last line of the terms; what follows tells how to apply them and is often left out.
+END = re.compile(r"(?m)^[ ]*END OF TERMS AND CONDITIONS[ ]*$")
+
+
+def published(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The forms in which licence files carry these texts: with and without title, as wrapped and a line per paragraph, and with
+    and without what follows the terms. Texts of license_texts have their titles as first paragraphs, those of TITLES have none."""
+    out: dict[tuple[str, str], None] = {}
+    for license, text in texts:
+        bodies = [text.strip()]
+        if license not in TITLES:
+            bodies.append(re.split(r"\n\s*\n", bodies[0], maxsplit=1)[1])
+        if END.search(text):
+            bodies += [b[: END.search(b).end()] for b in bodies] + [b[: END.search(b).start()] for b in bodies]
+        if license == "BSD-3-Clause":
+            # the two-clause text is this one without its third condition
+            out |= dict.fromkeys(published([("BSD-2-Clause", re.sub(r"(?s)\n3\. Neither.*?permission\.\n", "", bodies[0]))]))
+        if license.startswith("BSD"):
+            bodies += [re.sub(r"(?m)^\d\. ", "* ", b) for b in bodies]
+        for body in bodies:
+            for form in (body, "\n\n".join(" ".join(p.split()) for p in re.split(r"\n\s*\n", body))):
+                out |= dict.fromkeys((license, f"{title}\n\n{form}" if title else form) for title in ("", *TITLES.get(license, ())))
+    return list(out)
+
+
+KNOWN += published(KNOWN[:3] + [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))])
 #: Spellings that count as equal, after lower-casing and without punctuation.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("copyright holder", "copyright owner"), ("per cent", "percent"), ("organisation", "organization"), ("favour", "favor"), ("https", "http")]
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"

@@ -2,6 +2,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -120,3 +121,16 @@ def test_licenses(spark):
     got = {r.doc_id: r.license for r in licenses.license_scan(frame(spark, rows)).collect()}
     assert got == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 4: None, 5: None, 6: None, 7: "MIT"}
     assert licenses.license_scan(frame(spark, rows).limit(0)).collect() == []
+
+
+def test_licenses_as_published(spark):
+    mit = licenses.KNOWN[0][1]
+    whole = {f.stem: f.read_text(encoding="utf-8") for f in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    notice = "Copyright (c) 2020 A. Author\n\n"
+    cases = [("MIT", "MIT License\n\n" + notice + mit), ("MIT", "The MIT License (MIT)\n\n" + notice + mit), ("ISC", "ISC License\n\n" + notice + licenses.KNOWN[1][1]), ("Zlib", "zlib License\n\n" + notice + licenses.KNOWN[2][1])]
+    cases += [*whole.items(), ("BSD-3-Clause", "BSD 3-Clause License\n\n" + notice + whole["BSD-3-Clause"])]
+    two = whole["BSD-3-Clause"].split("3. Neither")[0] + "THIS SOFTWARE" + whole["BSD-3-Clause"].split("THIS SOFTWARE", 1)[1]
+    cases += [("BSD-2-Clause", "BSD 2-Clause License\n\n" + notice + two), ("Apache-2.0", whole["Apache-2.0"].split("   APPENDIX")[0])]
+    cases += [("GPL-3.0-only", whole["GPL-3.0-only"].split("29 June 2007", 1)[1]), (None, whole["GPL-3.0-only"][:-2000]), (None, "MIT License"), (None, "MIT License\n\n" + two)]
+    got = {r.doc_id: r.license for r in licenses.license_scan(frame(spark, [(i, t, None) for i, (_, t) in enumerate(cases)])).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
