@@ -1,0 +1,153 @@
+"""Near copies by five-word shingles: MinHash bands find pairs, the texts' own Jaccard similarity decides."""
+from __future__ import annotations
+
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from braid.llm.batches import over_texts
+from braid.llm.common import dropped, text_or_empty, written
+from braid.llm.components import components
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: A pair of similarity 0.8 shares none of 32 bands of 5 hashes with a probability of 0.000003.
+BANDS, ROWS = 32, 5
+#: Buckets of up to so many members are compared whole in one round; of larger ones, so many members with all others.
+SMALL, LEADERS = 1024, 64
+#: Shingles whose hashes are permuted at once.
+BLOCK = 1 << 12
+_numbers = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64)
+XOR, FACTOR = _numbers[0], _numbers[1] * np.uint64(2) + np.uint64(1)
+
+
+def shingles(text: bytes) -> frozenset[bytes]:
+    """Distinct runs of five words, or all words of a shorter text. Words are cut and lower-cased as for fingerprints."""
+    words = text.lower().split()
+    if not words:
+        return frozenset()
+    return frozenset(map(b" ".join, zip(*(words[i:] for i in range(SHINGLE))))) if len(words) >= SHINGLE else frozenset([b" ".join(words)])
+
+
+def similar(a: frozenset, b: frozenset) -> bool:
+    """Jaccard of 0.8 or more, in whole numbers; two texts without words are alike."""
+    both = len(a & b)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def bands(found: frozenset[bytes]) -> np.ndarray:
+    """A 64-bit key for each band. All texts without words have the same."""
+    from xxhash import xxh64_intdigest
+
+    hashes = np.fromiter(map(xxh64_intdigest, found, repeat(7)), np.uint64, len(found))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), BLOCK):
+        np.minimum(least, ((hashes[i : i + BLOCK] ^ XOR) * FACTOR).min(axis=1), out=least)
+    return np.array([xxh64_intdigest(part.tobytes(), k) for k, part in enumerate(least.reshape(BANDS, ROWS))], np.uint64).view(np.int64)
+
+
+def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, node, size, keys): a hash of the text, its number of distinct shingles, and its bands' keys."""
+
+    def make():
+        def f(batch):
+            found = [shingles(t) for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            keys = pa.array([bands(x) for x in found], pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(map(len, found), pa.int32()), keys], [id_col, "node", "size", "keys"])
+
+        return f
+
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col), F.xxhash64(text).alias("node"), text.alias("__text"))
+    return over_texts(rows, "__text", make, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, node long, size int, keys array<long>")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """(a, b): the pairs whose texts are similar. A member of many pairs is the crowded side of a merge join, which can be split."""
+
+    def make():
+        def f(batch):
+            a, b, left, right = batch.columns
+            near = [similar(shingles(x), shingles(y)) for x, y in zip(left.cast(pa.binary()).to_pylist(), right.cast(pa.binary()).to_pylist())]
+            keep = pa.array(near, pa.bool_())
+            return pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
+
+        return f
+
+    text = text_or_empty(text_col)
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = written(docs.select(F.xxhash64(text).alias("node"), text.alias("text")).join(needed.hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    out = pairs
+    for side in ("a", "b"):
+        out = out.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")).hint("merge"), side)
+    out = written(over_texts(out.select("a", "b", "text_a", "text_b"), "text_a", make, "a long, b long"), "similar")
+    dropped(texts)
+    return out
+
+
+def links(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
+    """(a, b): links of similar texts that share a band, enough of them to connect all of them.
+
+    First each bucket's least member is compared with its others, then what is left of it if that isn't one component yet: small
+    buckets as a whole, of large ones members of the smallest components with all others. A member that met all
+    others leaves, and pairs within a component don't matter, so nothing is lost, and a large group of copies takes one round.
+    """
+    node = rows.groupBy("node").agg(F.min("size").alias("size"), F.first("keys").alias("keys"))
+    keyed = written(node.select("node", "size", F.posexplode("keys").alias("band", "key")), "keyed")
+    key = ["band", "key"]
+    sizes = keyed.groupBy(*key).agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    members = written(keyed.join(sizes.hint("merge"), key), "members")
+    dropped(keyed)
+    like = "5 * least({0}, {1}) >= 4 * greatest({0}, {1})"
+    pairs = members.filter("node <> first.node").filter(like.format("size", "first.size")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+    pairs = written(pairs.distinct(), "pairs")
+    open_ = members.filter("node <> first.node").select(*key, "node", "size")
+    found = tested = None
+    while True:
+        now = verified(pairs, docs, text_col)
+        found = now if found is None else written(found.union(now), "found")
+        tested = pairs if tested is None else written(tested.union(pairs), "tested")
+        labels = components(found)
+        weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
+        labels = written(labels.join(weights, "label"), "weights")
+        named = open_.join(labels.hint("merge"), "node", "left").select(*key, "node", "size", F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
+        named = written(named, "named")
+        mixed = named.groupBy(*key).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        left = written(named.join(mixed.hint("merge"), key), "open")
+        dropped(named)
+        if left.isEmpty():
+            return found
+        few = left.filter(F.col("n") <= small).select(*key, "node", "size", "label")
+        other = few.select(*key, F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+        whole = few.join(other.hint("merge"), key).filter("node < b and label <> label_b").filter(like.format("size", "size_b")).select(F.col("node").alias("a"), "b")
+        rank = F.row_number().over(Window.partitionBy(*key).orderBy("weight", "node"))
+        large = written(left.filter(F.col("n") > small).withColumn("rank", rank).select(*key, "node", "size", "label", "rank"), "large")
+        lead = large.filter(F.col("rank") <= leaders).select(*key, F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
+        star = large.join(lead.hint("merge"), key).filter("node <> a and label <> label_a").filter(like.format("size", "size_a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+        pairs = written(whole.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        open_ = written(large.filter(F.col("rank") > leaders).select(*key, "node", "size"), "rest")
+        dropped(left)
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
+    """One row per input row: id_col, component_id (the least id that is reachable over pairs of similar texts, itself included).
+
+    Texts of any length count whole. Null texts are empty. Null ids don't count for component_id, which is null where a
+    component has no other. Rows that repeat an id are rows of their own. Empty tables give empty results.
+    """
+    rows = written(signed(docs, id_col, text_col), "signed")
+    nodes = written(rows.groupBy("node").agg(F.min(id_col).alias("least")), "nodes")
+    labels = components(links(rows, docs, text_col, small, leaders))
+    rooted = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = written(rooted.select("node", "root").join(least, "root").select("node", "component_id"), "component")
+    return rows.join(of, "node").select(id_col, "component_id")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least id of each component. Rows that repeat that id all stay."""
+    found = near_components(docs)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
+    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")

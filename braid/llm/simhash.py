@@ -161,10 +161,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_components(documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each component. Rows that repeat that id all stay."""
-    found = simhash_components(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["__keep"]), "left_semi")

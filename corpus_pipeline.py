@@ -7,17 +7,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braid.llm import bpe, exact_dedup, mixing, simhash, toxicity
+from braid.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from braid.llm.common import documents, written
 
 STAGES = [
     ("toxicity", toxicity.stage),
     ("exact_dedup", exact_dedup.stage),
-    ("simhash", simhash.stage),
+    ("near_dedup", near_dedup.stage),
     ("mixing", mixing.stage),
     ("bpe", bpe.stage),
 ]
-#: The model and the fingerprints have no SQL; tests compare run() with a plain version.
+#: The model and the similarity of texts have no SQL; tests compare run() with a plain version.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,56 @@
+"""The near-copy stage against a comparison of all pairs."""
+import random
+
+import pytest
+
+import corpus_pipeline
+from braid.llm import near_dedup
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus():
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(12):
+        base = [r.choice(vocabulary) for _ in range(r.randrange(20, 120))]
+        texts.append(" ".join(base))
+        for _ in range(r.randrange(6)):  # copies with a few words changed, some of them below the bound
+            copy = list(base)
+            for _ in range(r.randrange(1, 4)):
+                copy[r.randrange(len(copy))] = r.choice(vocabulary)
+            texts.append(" ".join(copy).upper())
+    chain = [f"c{i}" for i in range(140)]
+    texts += [" ".join(chain[i : i + 100]) for i in range(0, 40, 8)]  # each like the next only
+    texts += ["one two", "ONE  two", "one", "", " \t", None]
+    ids = random.Random(6).sample(range(1000), len(texts))
+    return [*zip(ids, texts), (ids[0], texts[0]), (None, texts[3])]
+
+
+def expected(rows):
+    sets = [near_dedup.shingles((t or "").encode()) for _, t in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            union = sets[i] | sets[j]
+            if label[i] != label[j] and (not union or len(sets[i] & sets[j]) / len(union) >= 0.8):
+                label = [label[j] if x == label[i] else x for x in label]
+    return [min((i for (i, _), x in zip(rows, label) if x == y and i is not None), default=None) for y in label]
+
+
+@pytest.mark.parametrize("small, leaders", [(64, 1), (1, 2)])
+def test_components(spark, small, leaders):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, (tuple(x) for x in near_dedup.near_components(docs, small=small, leaders=leaders).collect())))
+    assert got == sorted(str((i, c)) for (i, _), c in zip(rows, expected(rows)))
+    assert near_dedup.near_components(docs.limit(0)).collect() == []
+
+
+def test_stage_drops_near_copies(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice("abcdefghijklmnopqrst") * 3 for _ in range(40)), "en", "s", 1) for i in range(30)]
+    rows += [(100 + i, t + ".", "en", "s", 1) for i, t, *_ in rows[:20]]
+    out = corpus_pipeline.STAGES[2][1](spark, spark.createDataFrame(rows, SCHEMA), "").collect()
+    assert sorted(x.doc_id for x in out) == list(range(30))
