@@ -77,12 +77,14 @@ def inverted(demand: Column, schedule) -> Column:
     return out
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULES) -> DataFrame:
-    """One row per input row, sorted by position: id_col, size, source_size, target, taken, position.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, schedules=SCHEDULES, positions: bool = False) -> DataFrame:
+    """One row per input row, sorted by position: id_col, size, source_size, target, taken, position,
+    and positions if asked for.
 
     A source's documents stand in one order, by a hash of their ids, and are passed through again and again until its target is
     reached, so its taken words are its target without the fraction of a word and at most one document is cut. position is the
     time from 0 to 1 at which the source's integrated schedule asks for the document's first word; null if nothing is taken.
+    positions has one such time for each pass that takes a word of the document.
 
     The order's running sums come from 4096 hash buckets per source: sums per bucket, then a running sum over buckets, then over
     the rows of a bucket. So a source that holds most rows is spread over all tasks. Only ids, sources and sizes are exchanged.
@@ -101,13 +103,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = rows.join(offsets, [*source, "bucket"]).withColumn("start", start).withColumn("goal", F.floor("target"))
     passes = [F.greatest(F.lit(0), F.least(F.col("size"), F.col("goal") - F.col("start") - k * F.col("source_size"))) for k in range(int(-(-cap // 1)))]
     taken = reduce(lambda a, b: a + b, passes)
-    demand = F.col("start") / F.col("target")
-    when = reduce(lambda out, k: F.when(F.col("klass") == k, inverted(demand, schedules[k % len(schedules)])).otherwise(out), range(len(weights)), F.lit(None).cast("double"))
-    return (
-        placed.withColumn("taken", taken.cast("long"))
-        .select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, when).alias("position"))
-        .orderBy("position", id_col)
+
+    def when(k: int) -> Column:
+        demand = (F.col("start") + k * F.col("source_size")) / F.col("target")
+        return reduce(lambda out, c: F.when(F.col("klass") == c, inverted(demand, schedules[c % len(schedules)])).otherwise(out), range(len(weights)), F.lit(None).cast("double"))
+
+    each = F.filter(F.array(*[F.when(n > 0, when(k)) for k, n in enumerate(passes)]), lambda x: x.isNotNull())
+    out = placed.withColumn("taken", taken.cast("long")).select(
+        F.col("id").alias(id_col), "size", "source_size", "target", "taken", F.when(F.col("taken") > 0, when(0)).alias("position"), *([each.alias("positions")] if positions else [])
     )
+    return out.orderBy("position", id_col)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
@@ -157,17 +162,27 @@ FROM mixed
 """
 
 
+def op7_mixing_passes(spark, sf_dir: str) -> DataFrame:
+    """A row for each pass that takes a word of a document, in training order; op7_mixing has the first pass's position only."""
+    out = mix(documents(spark, sf_dir), positions=True).select("doc_id", F.posexplode("positions").alias("pass", "position"))
+    return out.orderBy("position", "doc_id", "pass")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; the document that a target would cut stays if half of it or more is taken.
+    """Repeats each document as often as the mix takes it, each copy at its own position: rows are range-sorted by position.
 
-    Documents without words stay once: they take nothing from any target. Rows that repeat an id go by the largest number of copies.
+    The document that a target would cut stays if half of it or more is taken. Documents without words stay once, before all
+    others: they take nothing from any target. Rows that repeat an id go by the largest number of copies.
     """
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int")
+    where = F.when(F.col("size") == 0, F.array(F.lit(None).cast("double"))).otherwise(F.slice("positions", F.lit(1), F.greatest(copies, F.lit(0))))
     taken = (
-        mix(docs)
-        .withColumn("copies", F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))))
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.max("copies").cast("int").alias("__copies"))
-        .filter("__copies > 0")
+        mix(docs, positions=True)
+        .select(F.col("doc_id").alias("__id"), F.struct(copies.alias("copies"), where.alias("where")).alias("__mix"))
+        .groupBy("__id")
+        .agg(F.max("__mix").alias("__mix"))
+        .filter("__mix.copies > 0")
     )
     out = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["__id"]))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[c] for c in docs.columns])
+    out = out.withColumn("__position", F.explode("__mix.where")).orderBy("__position", docs["doc_id"])
+    return out.select(*[docs[c] for c in docs.columns])

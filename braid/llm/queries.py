@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_simhash": simhash.op5_simhash,
         "op6_license_scan": licenses.op6_license_scan,
         "op7_mixing": mixing.op7_mixing,
+        "op7_mixing_passes": mixing.op7_mixing_passes,
         "op8_pii": pii.op8_pii,
         "op9_media": media.op9_media,
         "op10_line_dedup": line_dedup.op10_line_dedup,

@@ -134,3 +134,16 @@ def test_licenses_as_published(spark):
     cases += [("GPL-3.0-only", whole["GPL-3.0-only"].split("29 June 2007", 1)[1]), (None, whole["GPL-3.0-only"][:-2000]), (None, "MIT License"), (None, "MIT License\n\n" + two)]
     got = {r.doc_id: r.license for r in licenses.license_scan(frame(spark, [(i, t, None) for i, (_, t) in enumerate(cases)])).collect()}
     assert [got[i] for i in range(len(cases))] == [name for name, _ in cases]
+
+
+def test_mixing_passes(spark):
+    """Every pass has its position, and the stage's copies stand in their order."""
+    rows = [(i, "w " * (i % 7 + 1), "abc"[i % 3] if i % 5 else "a") for i in range(90)]
+    table = mixing.mix(frame(spark, rows), positions=True).collect()
+    assert max(len(x.positions) for x in table) > 1
+    for x in table:
+        assert len(x.positions) == -(-x.taken // x.size) and x.positions == sorted(x.positions)
+        assert x.position == (x.positions[0] if x.positions else None)
+    copies = {x.doc_id: (2 * x.taken + x.size) // (2 * x.size) for x in table}
+    order = sorted((p, x.doc_id) for x in table for p in x.positions[: copies[x.doc_id]])
+    assert [x.doc_id for x in mixing.stage(spark, frame(spark, rows), "").collect()] == [i for _, i in order]
