@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,15 +17,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Where that is unset, a single JVM gets a temporary folder (tests);
+    on a cluster, where executors don't share one, it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        sc = spark.sparkContext
+        set_dir = sc._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             where = set_dir.get()
-        else:
+        elif re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             where = "file://" + tempfile.mkdtemp(prefix="braid-")
-            spark.sparkContext.setCheckpointDir(where)
+            sc.setCheckpointDir(where)
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where.rstrip("/")
 
 

@@ -111,6 +111,8 @@ def read_png(media: bytes) -> np.ndarray:
         if zlib.crc32(body, zlib.crc32(kind)) != struct.unpack_from(">I", media, at + 8 + n)[0]:
             raise BadMedia(f"checksum of {kind!r}")
         if kind == b"IHDR":
+            if n != 13:
+                raise BadMedia("header")
             width, height, *form = struct.unpack(">IIBBBBB", body)
             if form != [8, 0, 0, 0, 0] or not width or not height:
                 raise BadMedia("form")

@@ -66,7 +66,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     if not DIGIT_OR_AT.search(text):
         return []
     out = [("email", a, b) for a, b in emails(text)] if "@" in text else []
-    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split("."))]
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 12 and 12 <= len(d := digits_of(m[0])) <= 19 and luhn(d):
             out.append(("card", *m.span()))

@@ -35,6 +35,9 @@ def test_damage():
     for cut in (0, 8, 20, len(stored) - 1):
         with pytest.raises(media.BadMedia):
             media.read_png(stored[:cut])
+    for size in (0, 12, 14):
+        with pytest.raises(media.BadMedia):
+            media.read_png(media.SIGNATURE + media.chunk(b"IHDR", bytes(size)) + media.chunk(b"IEND", b""))
 
 
 def test_hash_is_of_low_frequencies():

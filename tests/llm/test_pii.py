@@ -36,6 +36,8 @@ def test_base_against_plain_patterns():
     for _ in range(4000):
         text = "".join(r.choice(parts) for _ in range(r.randrange(1, 40)))
         assert pii.base_spans(text) == plain(text), repr(text)
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    assert pii.base_spans("1" * 5000 + ".1.1.1") == []
 
 
 def test_time_follows_the_length():
