@@ -21,6 +21,10 @@ WIDTH = 576
 PAD = 255
 LEVEL = 6
 IDAT_BYTES = 1 << 16
+#: A stream holds at most so many bytes for each of its own.
+RATIO = 1032
+#: Samples that are unfiltered at once.
+BATCH = 8 << 20
 
 
 class BadMedia(ValueError):
@@ -60,44 +64,63 @@ def nearest(a, b, c):
     return np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
 
 
-def write_png(payload: bytes, width: int = WIDTH, kind: int = NONE, level: int = LEVEL) -> bytes:
-    """A grey PNG of the padded payload. Text compresses best unfiltered, so that is the default."""
+def chosen(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The filter of each row and the rows filtered by it: the one with the least sum of absolute values, as signed bytes, and
+    of those the first."""
+    kinds, best, out = np.zeros(len(rows), np.uint8), None, rows
+    for kind in range(5):
+        now = filtered(rows, kind)
+        cost = np.minimum(now, 0 - now).sum(axis=1, dtype=np.int64)
+        if best is None:
+            best, out = cost, now.copy()
+            continue
+        less = cost < best
+        kinds[less], best[less], out[less] = kind, cost[less], now[less]
+    return kinds, out
+
+
+def write_png(payload: bytes, width: int = WIDTH, kind: int | None = None, level: int = LEVEL) -> bytes:
+    """A grey PNG of the padded payload; each row has the filter that suits it best, or all have the given one."""
     rows = np.frombuffer(padded(payload, width), np.uint8).reshape(-1, width)
     raw = np.empty((len(rows), width + 1), np.uint8)
-    raw[:, 0] = kind
-    raw[:, 1:] = filtered(rows, kind)
+    raw[:, 0], raw[:, 1:] = chosen(rows) if kind is None else (kind, filtered(rows, kind))
     data = zlib.compress(raw.tobytes(), level)
     idat = b"".join(chunk(b"IDAT", data[i : i + IDAT_BYTES]) for i in range(0, len(data), IDAT_BYTES))
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)) + idat + chunk(b"IEND", b"")
 
 
-def unfiltered(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Undoes the filters in place, in runs of rows of one kind. None is free, Sub a running sum along rows, Up one down the
-    rows of its run; Average and Paeth need each left neighbour, so they go sample by sample."""
-    edges = np.flatnonzero(np.diff(kinds)) + 1
-    for start, end in zip([0, *edges], [*edges, len(kinds)]):
-        kind, above = kinds[start], rows[start - 1] if start else np.zeros(rows.shape[1], np.uint8)
-        part = rows[start:end]
-        if kind == SUB:
-            np.cumsum(part, axis=1, dtype=np.uint8, out=part)
-        elif kind == UP:
-            part[0] += above
-            np.cumsum(part, axis=0, dtype=np.uint8, out=part)
-        elif kind in (AVERAGE, PAETH):
-            for row in part:
-                left = corner = 0
-                for x, up in enumerate(above.tolist()):
-                    near = (left + up) >> 1 if kind == AVERAGE else int(nearest(left, up, corner))
-                    row[x] = left = (int(row[x]) + near) & 255
-                    corner = up
-                above = row
-        elif kind != NONE:
-            raise BadMedia(f"filter {kind}")
-    return rows
-
-
-def read_png(media: bytes) -> np.ndarray:
-    """The samples, as a matrix. Raises BadMedia if a signature, length, checksum, header or stream isn't right."""
+def unfiltered(images: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """The samples of images of one width, each given as the kinds of its rows and its filtered rows.
+
+    A sample needs those to its left, above and in the corner, so samples on a diagonal don't need each other: step t undoes
+    sample t - y of row y, of all rows of all images at once. Steps are as many as the width and the rows of the tallest image.
+    """
+    width = images[0][1].shape[1]
+    heights = np.array([len(k) for k, _ in images])
+    # a row and a column of zeros before each image
+    flat = np.zeros((int((heights + 1).sum()), width + 1), np.uint8)
+    first = np.cumsum(heights + 1) - heights
+    for at, (_, rows) in zip(first, images):
+        flat[at : at + len(rows), 1:] = rows
+    y = np.concatenate([np.arange(n) for n in heights])
+    line = np.repeat(first, heights) + y
+    order = np.argsort(y, kind="stable")  # so the rows at work in a step are a slice
+    y, kinds = y[order], np.concatenate([k for k, _ in images])[order]
+    base = line[order] * (width + 1) + 1 - y
+    done, stride = flat.ravel(), width + 1
+    edges = np.searchsorted(y, np.arange(int(heights.max()) + 1))
+    average, paeth, sub, up_ = (kinds == k for k in (AVERAGE, PAETH, SUB, UP))
+    for t in range(width + int(heights.max()) - 1):
+        part = slice(edges[max(0, t - width + 1)], edges[min(t + 1, len(edges) - 1)])
+        at = base[part] + t
+        left, above, corner = (done[at - back].astype(np.int16) for back in (1, stride, stride + 1))
+        guess = left * sub[part] + above * up_[part] + (left + above >> 1) * average[part] + nearest(left, above, corner) * paeth[part]
+        done[at] += guess.astype(np.uint8)
+    return [flat[at : at + n, 1:] for at, n in zip(first, heights)]
+
+
+def parsed(media: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The kinds of the rows and the filtered rows. Raises BadMedia if a signature, length, checksum, header or stream isn't right."""
     if media[:8] != SIGNATURE:
         raise BadMedia("signature")
     at, size, data, ended = 8, None, [], False
@@ -127,15 +150,45 @@ def read_png(media: bytes) -> np.ndarray:
     if not ended or size is None:
         raise BadMedia("no end or header")
     height, width = size
-    stream = zlib.decompressobj()
+    packed, wanted = b"".join(data), height * (width + 1)
+    if wanted > (len(packed) + 1) * RATIO:  # so a header can't ask for more memory than its stream can fill
+        raise BadMedia("short stream")
     try:
-        raw = stream.decompress(b"".join(data), height * (width + 1))  # no more than the header says
+        raw = zlib.decompressobj().decompress(packed, wanted)
     except zlib.error as e:
         raise BadMedia(str(e)) from e
-    if len(raw) != height * (width + 1):
+    if len(raw) != wanted:
         raise BadMedia("short stream")
-    rows = np.frombuffer(bytearray(raw), np.uint8).reshape(height, width + 1)
-    return unfiltered(rows[:, 0], np.ascontiguousarray(rows[:, 1:]))
+    rows = np.frombuffer(raw, np.uint8).reshape(height, width + 1)
+    if (rows[:, 0] > PAETH).any():
+        raise BadMedia(f"filter {rows[:, 0].max()}")
+    return rows[:, 0], rows[:, 1:]
+
+
+def read_png(media: bytes) -> np.ndarray:
+    """The samples of one file, as a matrix."""
+    return unfiltered([parsed(media)])[0]
+
+
+def read_pngs(files: list[bytes]) -> list[np.ndarray | BadMedia]:
+    """The samples of each file or what is wrong with it. Files of one width are unfiltered together, up to BATCH samples at once."""
+    out: list = []
+    groups: dict[int, list[int]] = {}
+    for i, media in enumerate(files):
+        try:
+            out.append(parsed(media))
+            groups.setdefault(out[i][1].shape[1], []).append(i)
+        except BadMedia as e:
+            out.append(e)
+    for members in groups.values():
+        while members:
+            take, total = 1, out[members[0]][1].size
+            while take < len(members) and (total := total + out[members[take]][1].size) <= BATCH:
+                take += 1
+            for i, samples in zip(members, unfiltered([out[i] for i in members[:take]])):
+                out[i] = samples
+            members = members[take:]
+    return out
 
 
 @cache
@@ -166,7 +219,11 @@ def cosine_hash(samples: np.ndarray, side: int = 32, low: int = 8) -> bytes:
 
 
 def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id_col, n_bytes, media): each text's UTF-8 bytes as a PNG. Null texts are empty; an empty payload is one row of padding."""
+    """(id_col, n_bytes, media): each text's UTF-8 bytes as a PNG. Null texts are empty; an empty payload is one row of padding.
+
+    A text of any length is one file. Each row is stored by itself, so repeated and null ids stay; equal texts give equal files.
+    An empty table gives an empty result. Other columns are ignored. Nothing is shuffled.
+    """
 
     def make():
         def f(batch):
@@ -181,21 +238,17 @@ def store_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 
 def read_media(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", carry=()) -> DataFrame:
-    """(id_col, carry..., media, payload, feature, error): what each PNG holds and its cosine hash. Bad media give an error and nulls."""
+    """(id_col, carry..., media, payload, feature, error): what each PNG holds and its cosine hash. Bad, empty and null media give
+    an error and nulls. One row per input row, repeated and null ids included; an empty table gives an empty result."""
 
     def make():
         def f(batch):
             payloads, hashes, errors = [], [], []
-            for m in batch.column(batch.num_columns - 1).to_pylist():
-                try:
-                    samples = read_png(m or b"")
-                    payloads.append(samples.tobytes())
-                    hashes.append(cosine_hash(samples))
-                    errors.append(None)
-                except BadMedia as e:
-                    payloads.append(None)
-                    hashes.append(None)
-                    errors.append(str(e))
+            for samples in read_pngs([m or b"" for m in batch.column(batch.num_columns - 1).to_pylist()]):
+                bad = isinstance(samples, BadMedia)
+                payloads.append(None if bad else samples.tobytes())
+                hashes.append(None if bad else cosine_hash(samples))
+                errors.append(str(samples) if bad else None)
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array(hashes, pa.binary()), pa.array(errors, pa.string())], [*batch.schema.names, "payload", "feature", "error"])
 
         return f
