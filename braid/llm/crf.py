@@ -4,30 +4,30 @@ from __future__ import annotations
 import numpy as np
 
 
-def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
-
-
 def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray):
-    """Marginals [sequence, position, label], log partition functions, and expected transitions summed over all sequences."""
+    """Marginals [sequence, position, label], log partition functions, and expected transitions summed over all sequences.
+
+    Each position's forward and backward values are scaled to sum to 1, so no step needs a logarithm of a sum.
+    """
     n, wide, k = emit.shape
-    alpha, beta = np.zeros_like(emit), np.zeros_like(emit)
-    alpha[:, 0] = start + emit[:, 0]
-    for t in range(1, wide):
-        alpha[:, t] = logsumexp(alpha[:, t - 1, :, None] + trans, 1) + emit[:, t]
-    for t in range(wide - 2, -1, -1):
-        step = logsumexp(trans + (emit[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-        beta[:, t] = np.where((t + 1 < lengths)[:, None], step, 0)
-    total = logsumexp(alpha[np.arange(n), lengths - 1], 1)
+    top = emit.max(axis=2, keepdims=True)
+    lift, step, first = np.exp(emit - top), np.exp(trans - trans.max()), np.exp(start - start.max())
     real = np.arange(wide) < lengths[:, None]
-    marginals = np.exp(np.where(real[..., None], alpha + beta - total[:, None, None], -np.inf))
+    alpha, beta, scale = np.empty_like(lift), np.ones_like(lift), np.ones((n, wide))
+    for t in range(wide):
+        now = (alpha[:, t - 1] @ step if t else first) * lift[:, t]
+        scale[:, t] = now.sum(axis=1)
+        alpha[:, t] = now / scale[:, t, None]
+    for t in range(wide - 2, -1, -1):
+        near = (lift[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]) @ step.T
+        beta[:, t] = np.where(real[:, t + 1, None], near, 1)
+    marginals = np.where(real[..., None], alpha * beta, 0)
+    total = start.max() + (lengths - 1) * trans.max() + np.where(real, np.log(scale) + top[..., 0], 0).sum(axis=1)
     pairs = np.zeros((k, k))
     for t in range(1, wide):
         on = real[:, t]
-        joint = alpha[on, t - 1][:, :, None] + trans + (emit[on, t] + beta[on, t])[:, None, :] - total[on, None, None]
-        pairs += np.exp(joint).sum(axis=0)
-    return marginals, total, pairs
+        pairs += alpha[on, t - 1].T @ (lift[on, t] * beta[on, t] / scale[on, t, None])
+    return marginals, total, pairs * step
 
 
 def viterbi(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -49,7 +49,8 @@ def viterbi(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, start: np.
 
 
 def fit(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_features: int, n_labels: int, rounds: int = 50, l2: float = 1e-3, rate: float = 0.3):
-    """Weights [feature, label], transitions and starts that maximise the labels' likelihood, by Adam over all sequences.
+    """Weights [feature, label], transitions and starts that maximise the labels' likelihood, by Adam over all sequences, in steps
+    that shrink to 0.
 
     features [sequence, position, slot] holds feature numbers; number 0 is none and keeps weight 0. labels [sequence, position].
     """
@@ -75,7 +76,7 @@ def fit(features: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_feature
         for i, g in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.99 * second[i] + 0.01 * g * g
-            params[i] = params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-6)
+            params[i] = params[i] - rate * (1 - (step - 1) / rounds) * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.99**step)) + 1e-6)
     return params
 
 
