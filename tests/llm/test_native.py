@@ -28,8 +28,8 @@ def test_exact_dedup(spark, rows):
     for i, t, _ in rows:
         groups[t or ""].append(i)
     for keep, best in (("max", max), ("min", min)):
-        for runs, fan_in in ((None, 4), (7, 2), (1, 3)):
-            got = exact_dedup.exact_dedup(frame(spark, rows), keep=keep, runs=runs, fan_in=fan_in).collect()
+        for levels in (None, 1, 3):
+            got = exact_dedup.exact_dedup(frame(spark, rows), keep=keep, levels=levels).collect()
             assert len(got) == len(rows)
             expected = Counter()
             for i, t, _ in rows:
@@ -40,6 +40,11 @@ def test_exact_dedup(spark, rows):
     assert exact_dedup.exact_dedup(frame(spark, rows).limit(0)).collect() == []
 
 
+def test_exact_dedup_merges_sorted_runs(spark, rows):
+    plan = exact_dedup.exact_dedup(frame(spark, rows), levels=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate(key=[run") == 6 and plan.count("REPARTITION_BY_COL") == 3
+
+
 @pytest.mark.parametrize("min_docs", [1, 2, 10])
 def test_line_dedup(spark, rows, min_docs):
     def key(line):
