@@ -28,9 +28,10 @@ def merged_runs(entries: DataFrame, run, bits: int, best: str) -> DataFrame:
     streams equal keys, which lie together then, into one entry. The aggregate is over a struct, so Spark plans it as a merge of
     sorted rows and not as a hash table; its keys hold the exchange's, so there is no other exchange."""
     pick = F.max if best == "max" else F.min
+    missing = (F.isnotnull("best") if best == "max" else F.isnull("best")).alias("rank")  # a null id is the last choice
     ranged = entries.select(*KEY, run.cast("int").alias("run"), F.expr(f"shiftrightunsigned(second, {64 - bits})").alias("range"), "best", "n")
     dealt = ranged.repartition("run", "range")
-    out = dealt.groupBy("run", "range", *KEY).agg(pick(F.struct("best")).alias("top"), F.sum("n").alias("n"))
+    out = dealt.groupBy("run", "range", *KEY).agg(pick(F.struct(missing, "best")).alias("top"), F.sum("n").alias("n"))
     return out.select(*KEY, "run", F.col("top.best").alias("best"), "n")
 
 
