@@ -59,8 +59,13 @@ def test_line_dedup(spark, rows, min_docs):
         lines = (t or "").split("\n")
         kept = [x for x in lines if docs[key(x)] < min_docs]
         expected[(i, len(lines), len(lines) - len(kept), "\n".join(kept))] += 1
-    got = line_dedup.line_dedup(frame(spark, rows), min_docs=min_docs).drop("bitmap").collect()
-    assert Counter(map(tuple, got)) == expected
+    for limit in (0, line_dedup.BROADCAST_BYTES):
+        got = line_dedup.line_dedup(frame(spark, rows), min_docs=min_docs, limit=limit).collect()
+        assert Counter((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in got) == expected
+        for r in got:
+            masks = {w.word: w.mask for w in r.bitmap or []}
+            kept = [masks.get(p // 63, -1) >> p % 63 & 1 for p in range(r.n_lines)]
+            assert kept.count(0) == r.n_dropped and (r.bitmap is None) == (r.n_dropped == 0)
     assert line_dedup.line_dedup(frame(spark, rows).limit(0)).collect() == []
 
 
