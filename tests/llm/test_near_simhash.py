@@ -1,10 +1,10 @@
-"""The near-copy stage against a comparison of all pairs."""
+"""The near-copy stage against a comparison of all pairs, and its recall."""
 import random
 
 import pytest
 
 import corpus_pipeline
-from braid.llm import near_dedup
+from braid.llm import near_simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -29,7 +29,7 @@ def corpus():
 
 
 def expected(rows):
-    sets = [near_dedup.shingles((t or "").encode()) for _, t in rows]
+    sets = [near_simhash.shingles((t or "").encode()) for _, t in rows]
     label = list(range(len(rows)))
     for i in range(len(rows)):
         for j in range(i):
@@ -43,9 +43,9 @@ def expected(rows):
 def test_components(spark, small, leaders):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = sorted(map(str, (tuple(x) for x in near_dedup.near_components(docs, small=small, leaders=leaders).collect())))
+    got = sorted(map(str, (tuple(x) for x in near_simhash.near_components(docs, small=small, leaders=leaders).collect())))
     assert got == sorted(str((i, c)) for (i, _), c in zip(rows, expected(rows)))
-    assert near_dedup.near_components(docs.limit(0)).collect() == []
+    assert near_simhash.near_components(docs.limit(0)).collect() == []
 
 
 def test_stage_drops_near_copies(spark):
@@ -54,3 +54,21 @@ def test_stage_drops_near_copies(spark):
     rows += [(100 + i, t + ".", "en", "s", 1) for i, t, *_ in rows[:20]]
     out = corpus_pipeline.STAGES[2][1](spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(x.doc_id for x in out) == list(range(30))
+
+
+def test_recall_of_similar_pairs():
+    """Pairs of texts of 300 words at similarities from 0.8 on: nearly all share a signature and pass the sketch."""
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(5000)]
+    hits = total = 0
+    while total < 300:
+        base = [r.choice(words) for _ in range(300)]
+        copy = list(base)
+        for _ in range(r.randrange(1, 9)):
+            copy[r.randrange(300)] = r.choice(words)
+        a, b = " ".join(base).encode(), " ".join(copy).encode()
+        if near_simhash.similar(near_simhash.shingles(a), near_simhash.shingles(b)):
+            (ka, sa), (kb, sb) = (near_simhash.signatures(near_simhash.sums(t)[0]) for t in (a, b))
+            hits += bool(set(ka.tolist()) & set(kb.tolist())) and ((sa ^ sb) & (1 << 64) - 1).bit_count() <= near_simhash.SKETCH
+            total += 1
+    assert hits >= 0.97 * total, hits / total

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from braid.llm import bpe, mixing, simhash, toxicity
+from braid.llm import bpe, mixing, near_simhash, toxicity
 
 
 def test_pipeline(spark, tmp_path):
@@ -40,13 +40,13 @@ def test_pipeline(spark, tmp_path):
     assert sorted(x.doc_id for x in tables[1]["rows"]) == sorted(last.values())
     ids = sorted(last.values())
     text = {x[0]: x[1] or "" for x in docs}
-    fps = {i: simhash.fingerprint(text[i].encode()) for i in ids}
+    sets = {i: near_simhash.shingles(text[i].encode()) for i in ids}
     left = []
-    for i in ids:  # least ids first: a document goes if a chain of links reaches a smaller id
+    for i in ids:  # least ids first: a document goes if a chain of similar texts reaches a smaller id
         seen, todo = {i}, [i]
         while todo:
             a = todo.pop()
-            more = [b for b in ids if b not in seen and ((fps[a] ^ fps[b]) & (1 << 64) - 1).bit_count() <= 3]
+            more = [b for b in ids if b not in seen and (not sets[a] | sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8)]
             seen.update(more)
             todo += more
         if min(seen) == i:
