@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from braid.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
+from braid.llm import bpe, exact_dedup, mixing, near_simhash, toxicity
 from braid.llm.common import documents, written
 
 STAGES = [
     ("toxicity", toxicity.stage),
     ("exact_dedup", exact_dedup.stage),
-    ("near_dedup", near_dedup.stage),
+    ("simhash", near_simhash.stage),
     ("mixing", mixing.stage),
     ("bpe", bpe.stage),
 ]
