@@ -17,16 +17,14 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, s
     for t in range(wide):
         now = (alpha[:, t - 1] @ step if t else first) * lift[:, t]
         scale[:, t] = now.sum(axis=1)
-        alpha[:, t] = now / scale[:, t, None]
+        np.divide(now, scale[:, t, None], out=alpha[:, t])
     for t in range(wide - 2, -1, -1):
         near = (lift[:, t + 1] * beta[:, t + 1] / scale[:, t + 1, None]) @ step.T
         beta[:, t] = np.where(real[:, t + 1, None], near, 1)
     marginals = np.where(real[..., None], alpha * beta, 0)
     total = start.max() + (lengths - 1) * trans.max() + np.where(real, np.log(scale) + top[..., 0], 0).sum(axis=1)
-    pairs = np.zeros((k, k))
-    for t in range(1, wide):
-        on = real[:, t]
-        pairs += alpha[on, t - 1].T @ (lift[on, t] * beta[on, t] / scale[on, t, None])
+    onward = (lift * beta * (real / scale)[..., None])[:, 1:]
+    pairs = alpha[:, :-1].reshape(-1, k).T @ onward.reshape(-1, k)
     return marginals, total, pairs * step
 
 

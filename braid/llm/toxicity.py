@@ -1,8 +1,8 @@
 """Toxicity: a two-label linear-chain CRF over words, and document scores from its marginals.
 
-The labelled rows mark documents, the CRF needs marked words. A word of a toxic document counts as toxic if it has a feature
-(the word itself, or how it begins) that is far more frequent in toxic documents than in others; near copies among the labelled
-rows count once, so that a copied document's plain words don't qualify. Words of other documents are clean.
+The labelled rows mark documents, the CRF needs marked words. Words' labels are estimated in turns with the chain, from first ones
+that features give (the word itself, or how it begins) which are far more frequent in toxic documents than in others; see train().
+Near copies among the labelled rows count once, so that a copied document's plain words don't qualify.
 """
 from __future__ import annotations
 
@@ -23,12 +23,18 @@ from braid.llm.common import documents, text_or_empty
 #: The model is fitted on so many labelled documents of each class at most, the first by a hash of their ids, and only on
 #: documents of up to so many bytes. Scores are for all documents and whole texts.
 TRAIN_DOCS, TRAIN_BYTES = 2500, 32_000
-#: Features kept at most; the words of a training sequence; training sequences with and without a marked word, at most.
+#: Bounds of the fit besides: features; the words of a training sequence; training sequences with and without a word that has a
+#: feature. Beyond the last two, every so many-th sequence is taken.
 FEATURES, WINDOW, MARKED_WINDOWS, CLEAN_WINDOWS = 4000, 40, 4000, 2000
-#: A feature is toxic from so many toxic documents and such a log ratio of document frequencies on.
-LEAST_DOCS, LEAST_RATIO = 4, 2.5
+#: A feature is used from so many toxic documents and such a log ratio of document frequencies on; from SEED_RATIO on it labels
+#: tokens in the first turn.
+LEAST_DOCS, LEAST_RATIO, SEED_RATIO = 4, 1.5, 2.5
+#: Turns of fitting and labelling; a toxic document without a toxic word gets its likeliest one from this marginal on.
+TURNS, LEAST_MARGINAL = 3, 0.05
+#: Smaller weights are 0, so that most words have no score.
+LEAST_WEIGHT = 0.2
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7)
 SLOTS = 1 + len(PREFIXES)
 
 
@@ -44,7 +50,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
     trans: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
-    document: np.ndarray = field(default_factory=lambda: np.array([-2.2, 0, 0]))
+    document: np.ndarray = field(default_factory=lambda: np.array([-2.2, 0, 0, 0]))
 
     def score(self, word: str) -> float:
         return sum(self.weights.get(f, 0.0) for f in features(word))
@@ -95,48 +101,64 @@ def chosen(docs: list[tuple[np.ndarray, int]], names: list[str]) -> dict[str, fl
 
 
 def train(rows: list[tuple[str, int]], base_rate: float) -> Model:
-    """rows: (text, label). Without rows of both classes the score is the base rate."""
+    """rows: (text, label). Without rows of both classes the score is the base rate.
+
+    Token labels are estimated in turns with the chain: a toxic document's words start as toxic where a feature's ratio is high;
+    then each turn fits the chain to the labels and labels again, by the chain's marginals: words over one half, and in a toxic
+    document without any its likeliest word. Clean documents' words are clean throughout.
+    """
     model = Model()
     odds = math.log(max(base_rate, 1e-3) / max(1 - base_rate, 1e-3))
-    model.document = np.array([odds, 0, 0])
+    model.document = np.array([odds, 0, 0, 0])
     words = Words()
     docs = distinct_texts(rows, words)
     names = list(words)
-    toxic = chosen(docs, names)
-    if not toxic:
+    ratios = chosen(docs, names)
+    if not ratios:
         return model
-    numbers = {f: i for i, f in enumerate(toxic, 1)}
+    numbers = {f: i for i, f in enumerate(ratios, 1)}
+    ratio = np.array([0.0, *ratios.values()])
     slots = np.zeros((len(names), SLOTS), np.int32)
     for i, name in enumerate(names):
         own = [numbers.get(f, 0) for f in features(name)]
         slots[i, : len(own)] = own
     has = slots.any(axis=1)
+    seed = ratio[slots].max(axis=1) >= SEED_RATIO
+    tags = [seed[ids] & (label == 1) for ids, label in docs]
+    # training sequences: those with a word of some feature, and one without from each document, in turn from all of its places
     marked, clean = [], []
-    for ids, label in docs:
-        parts = [ids[i : i + WINDOW] for i in range(0, len(ids), WINDOW)]
-        with_mark = [(p, label) for p in parts if has[p].any()]
+    for d, (ids, _) in enumerate(docs):
+        starts = range(0, len(ids), WINDOW)
+        with_mark = [(d, i) for i in starts if has[ids[i : i + WINDOW]].any()]
         marked += with_mark
-        if len(with_mark) < len(parts):  # one unmarked sequence of each document, in turn from all of its places
-            rest = [p for p in parts if not has[p].any()]
-            clean.append((rest[len(clean) % len(rest)], label))
+        rest = sorted({(d, i) for i in starts} - set(with_mark))
+        clean += rest[len(clean) % len(rest) :][:1] if rest else []
     parts = marked[:: -(-len(marked) // MARKED_WINDOWS) or 1] + clean[:: -(-len(clean) // CLEAN_WINDOWS) or 1]
-    lengths = np.array([len(p) for p, _ in parts], np.int64)
-    x, y = np.zeros((len(parts), WINDOW, SLOTS), np.int64), np.zeros((len(parts), WINDOW), np.int64)
-    for i, (p, label) in enumerate(parts):
-        x[i, : len(p)] = slots[p]
-        y[i, : len(p)] = has[p] & (label == 1)
-    w, model.trans, model.start = crf.fit(x, y, lengths, len(numbers) + 1, 2)
-    delta = w[:, 1] - w[:, 0]
-    model.weights = {f: float(delta[i]) for f, i in numbers.items() if abs(delta[i]) > 1e-3}
-    by_word = np.where(np.abs(delta) > 1e-3, delta, 0.0)[slots].sum(axis=1)
-    found = summaries(model, [by_word[ids] for ids, _ in docs])[1]
+    lengths = np.array([len(docs[d][0][i : i + WINDOW]) for d, i in parts], np.int64)
+    x, y = np.zeros((len(parts), WINDOW, SLOTS), np.int32), np.zeros((len(parts), WINDOW), np.int64)
+    for row, (d, i) in enumerate(parts):
+        x[row, : lengths[row]] = slots[docs[d][0][i : i + WINDOW]]
     labels = np.array([label for _, label in docs])
+    for turn in range(TURNS):
+        for row, (d, i) in enumerate(parts):
+            y[row, : lengths[row]] = tags[d][i : i + WINDOW]
+        w, model.trans, model.start = crf.fit(x, y, lengths, len(numbers) + 1, 2, rounds=40, l2=2e-4)
+        delta = w[:, 1] - w[:, 0]
+        delta[np.abs(delta) <= LEAST_WEIGHT] = 0
+        by_word = delta[slots].sum(axis=1)
+        per_word, found = summaries(model, [by_word[ids] for ids, _ in docs])
+        for d in np.flatnonzero(labels):
+            at, p = per_word[d]
+            tags[d] = np.zeros(len(docs[d][0]), bool)
+            if len(p):
+                tags[d][at[(p >= 0.5) | (p >= p.max()) & (p.max() >= LEAST_MARGINAL)]] = True
+    model.weights = {f: float(delta[i]) for f, i in numbers.items() if delta[i]}
     model.document = logistic(evidence(found), labels, np.where(labels == 1, base_rate / max(labels.mean(), 1e-9), (1 - base_rate) / max(1 - labels.mean(), 1e-9)))
     return model
 
 
 def evidence(found: np.ndarray) -> np.ndarray:
-    return np.stack([np.ones(len(found)), np.log1p(found[:, 0]), found[:, 1]], axis=1)
+    return np.stack([np.ones(len(found)), np.log1p(found[:, 0]), found[:, 1], np.log1p(found[:, 2]) / 10], axis=1)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50, l2: float = 1.0) -> np.ndarray:
@@ -151,7 +173,8 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50,
 
 
 def summaries(model: Model, scores: list) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-    """For each document's word scores: positions and toxic marginals of the words that have a score, and their sum and largest.
+    """For each document's word scores: positions and toxic marginals of the words that have a score, and their sum and largest and
+    the number of words.
 
     Words without a score all have the same transition matrix, so a gap of g of them is its g-th power, which has a closed form:
     the forward and backward passes step from scored word to scored word, over all documents at once, and are those of the whole
@@ -159,7 +182,8 @@ def summaries(model: Model, scores: list) -> tuple[list[tuple[np.ndarray, np.nda
     """
     where = [np.flatnonzero(s) for s in map(np.asarray, scores)]
     lengths = np.array([len(s) for s in scores], np.int64)
-    found = np.zeros((len(scores), 2))
+    found = np.zeros((len(scores), 3))
+    found[:, 2] = lengths
     out = [(w, np.empty(0)) for w in where]
     docs = np.array([i for i, w in enumerate(where) if len(w)], np.int64)
     docs = docs[np.argsort([len(where[i]) for i in docs], kind="stable")]
@@ -175,7 +199,7 @@ def summaries(model: Model, scores: list) -> tuple[list[tuple[np.ndarray, np.nda
         p = marginals(model, gaps, emit, n)
         for row, i in enumerate(part):
             out[i] = where[i], p[row, : n[row]]
-            found[i] = p[row, : n[row]].sum(), p[row, : n[row]].max()
+            found[i, :2] = p[row, : n[row]].sum(), p[row, : n[row]].max()
     return out, found
 
 
@@ -274,7 +298,11 @@ def fitted(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> Model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted, spans. See fitted() and scored()."""
+    """One row per input row: doc_id, held_out, score, predicted, spans. See fitted() and scored().
+
+    Rows are scored one by one, so repeated rows get equal rows, null ids stay (never held out, never used for the fit), and equal
+    scores don't matter. Without usable labels of both classes every score is the base rate. Empty tables give empty results.
+    """
     out = scored(docs, fitted(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
 

@@ -48,7 +48,7 @@ def test_gaps_equal_the_whole_chain():
         whole = crf.forward_backward(emit, np.array([len(s)]), model.trans, model.start)[0][0, :, 1]
         assert at.tolist() == np.flatnonzero(s).tolist()
         assert np.allclose(p, whole[at], atol=1e-8)
-        assert np.allclose(sums, [p.sum(), p.max() if len(p) else 0])
+        assert np.allclose(sums, [p.sum(), p.max() if len(p) else 0, len(s)])
 
 
 def corpus(spark, path):
@@ -74,6 +74,15 @@ def test_query_and_stage(spark, tmp_path):
     assert len(rows) == len(docs)
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     of = {r.doc_id: r for r in rows}
+    model = toxicity.fitted(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels")))
+    for i, text, *_ in docs[::40] + docs[-5:]:  # the score from the whole chain, word by word
+        found = [model.score(w) for w in toxicity.WORD.findall(text or "")]
+        p = np.zeros(0)
+        if found:
+            emit = np.stack([np.zeros(len(found)), found], axis=1)[None]
+            p = crf.forward_backward(emit, np.array([len(found)]), model.trans, model.start)[0][0, np.flatnonzero(found), 1]
+        x = np.array([1, np.log1p(p.sum()), p.max(initial=0), np.log1p(len(found)) / 10])
+        assert np.isclose(of[i].score, 1 / (1 + np.exp(-x @ model.document)), atol=1e-8)
     held = [i for i in labels if of[i].held_out]
     assert 80 < len(held) < 160
     assert np.mean([of[i].predicted == labels[i] for i in held]) > 0.98
