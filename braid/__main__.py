@@ -1,4 +1,4 @@
-"""python -m braid --csv FILE --resume TEXT --linkedin HTML --github FILE_OR_NAME [--config FILE] [--output FILE]"""
+"""python -m braid [transform] --csv FILE --resume PDF_OR_TEXT --linkedin HTML --github FILE_OR_NAME [--config FILE] [-o FILE] [-v]"""
 from __future__ import annotations
 
 import argparse
@@ -13,8 +13,10 @@ from braid.plans.fusion import run
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="braid", description="Fuses one candidate's records into a profile.")
-    for name, text in (("csv", "CSV export"), ("resume", "text of a résumé"), ("linkedin", "saved profile page"), ("github", "user JSON, name or address"), ("config", "projection config"), ("output", "file for the result")):
+    parser.add_argument("command", nargs="?", choices=["transform"], default="transform", help="the only command")
+    for name, text in (("csv", "CSV export"), ("resume", "résumé, PDF or text"), ("linkedin", "saved profile page"), ("github", "user JSON, name or address"), ("config", "projection config")):
         parser.add_argument(f"--{name}", help=text)
+    parser.add_argument("--output", "-o", help="file for the result")
     parser.add_argument("--verbose", "-v", action="store_true")
     a = parser.parse_args(args)
     logging.basicConfig(format="%(levelname)s [%(name)s] %(message)s", level=logging.DEBUG if a.verbose else logging.WARNING, stream=sys.stderr)

@@ -63,16 +63,85 @@ SKILLS = {
     "Redis": ("redis",),
 }
 
-#: National numbers by country code. An approximation of numbering plans: it can't tell unassigned area codes.
+#: National numbers by country code, as the public numbering plans give their lengths and first digits. An
+#: approximation: it can't tell unassigned area codes. Codes that aren't here have no valid numbers.
 PHONES = {
     "1": "[2-9][0-9]{2}[2-9][0-9]{6}",
+    "7": "[34789][0-9]{9}",
+    "20": "[1-9][0-9]{7,9}",
+    "27": "[1-8][0-9]{8}",
+    "30": "[26][0-9]{9}",
     "31": "[1-9][0-9]{8}",
+    "32": "[1-9][0-9]{7,8}",
     "33": "[1-9][0-9]{8}",
+    "34": "[6-9][0-9]{8}",
+    "36": "[1-9][0-9]{7,8}",
+    "39": "(?:0[0-9]{5,10}|3[0-9]{8,9})",
+    "40": "[2-9][0-9]{8}",
+    "41": "[2-9][0-9]{8}",
+    "43": "[1-9][0-9]{6,11}",
     "44": "[1-35789][0-9]{8,9}",
+    "45": "[2-9][0-9]{7}",
+    "46": "[1-9][0-9]{6,9}",
+    "47": "[2-9][0-9]{7}",
+    "48": "[1-9][0-9]{8}",
     "49": "[1-9][0-9]{6,11}",
+    "51": "[1-9][0-9]{7,8}",
+    "52": "[2-9][0-9]{9}",
+    "54": "9?[1-9][0-9]{9}",
+    "55": "[1-9][1-9](?:9[0-9]{8}|[2-5][0-9]{7})",
+    "56": "[2-9][0-9]{8}",
+    "57": "[1-9][0-9]{9}",
+    "60": "[1-9][0-9]{7,9}",
     "61": "[2-478][0-9]{8}",
+    "62": "[1-9][0-9]{6,11}",
+    "63": "[2-9][0-9]{7,9}",
+    "64": "[2-9][0-9]{7,9}",
     "65": "[3689][0-9]{7}",
+    "66": "[2-9][0-9]{7,8}",
+    "81": "[1-9][0-9]{8,9}",
+    "82": "[1-9][0-9]{7,9}",
+    "84": "[2-9][0-9]{8,9}",
+    "86": "(?:1[3-9][0-9]{9}|[2-9][0-9]{8,10}|10[0-9]{8})",
+    "90": "[2-5][0-9]{9}",
     "91": "[6-9][0-9]{9}",
+    "92": "[2-9][0-9]{8,9}",
+    "94": "[1-9][0-9]{8}",
+    "98": "[1-9][0-9]{9}",
+    "212": "[5-8][0-9]{8}",
+    "213": "[2-7][0-9]{7,8}",
+    "216": "[2-9][0-9]{7}",
+    "233": "[2-5][0-9]{8}",
+    "234": "[1-9][0-9]{6,9}",
+    "251": "[1-9][0-9]{8}",
+    "254": "[1-9][0-9]{8}",
+    "255": "[2-7][0-9]{8}",
+    "256": "[2-7][0-9]{8}",
+    "351": "[29][0-9]{8}",
+    "352": "[2-9][0-9]{5,8}",
+    "353": "[1-9][0-9]{7,8}",
+    "354": "[4-8][0-9]{6}",
+    "358": "[1-9][0-9]{6,9}",
+    "359": "[2-9][0-9]{7,8}",
+    "370": "[3-8][0-9]{7}",
+    "371": "[2-8][0-9]{7}",
+    "372": "[3-8][0-9]{6,7}",
+    "380": "[3-9][0-9]{8}",
+    "381": "[1-9][0-9]{7,8}",
+    "385": "[1-9][0-9]{7,8}",
+    "386": "[1-7][0-9]{7}",
+    "420": "[2-9][0-9]{8}",
+    "421": "[2-9][0-9]{8}",
+    "852": "[2-9][0-9]{7}",
+    "880": "[1-9][0-9]{8,9}",
+    "886": "[2-9][0-9]{7,8}",
+    "962": "[2-7][0-9]{7,8}",
+    "965": "[2-9][0-9]{7}",
+    "966": "[1-9][0-9]{8}",
+    "971": "(?:5[0-9]{8}|[2-9][0-9]{7})",
+    "972": "[2-9][0-9]{7,8}",
+    "974": "[3-7][0-9]{7}",
+    "977": "[1-9][0-9]{7,9}",
 }
 #: Country codes, and international prefixes dialled there, of the regions that numbers without + may be from.
 REGIONS = {"US": ("1", "011"), "CA": ("1", "011"), "GB": ("44", "00"), "IN": ("91", "00"), "DE": ("49", "00"), "FR": ("33", "00"), "NL": ("31", "00"), "SG": ("65", "00"), "AU": ("61", "0011")}

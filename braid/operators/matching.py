@@ -14,7 +14,8 @@ def email_key(x):
 
 def matches(left: DataFrame, right: DataFrame, cfg: FusionConfig | None = None, by: tuple[str, ...] = ("email", "phone")) -> DataFrame:
     """Distinct (id_a, id_b) of rows (id, email, phone) that match. One equi-join per key instead of a join on either: no loop over
-    pairs, and adaptive execution can split keys that many rows share."""
+    pairs, and adaptive execution can split keys that many rows share. The pairs of a key are as many as both sides' rows multiply
+    to; for classes of records instead of pairs, whatever the sizes, use entities.entity_keys()."""
     cfg = cfg or FusionConfig()
     keys = {"email": email_key, "phone": lambda x: normalize_phone(x, cfg)}
     out = None

@@ -29,17 +29,19 @@ def normalized(profiles: DataFrame, cfg: FusionConfig | None = None) -> DataFram
     )
 
 
-def best_by_key(all_entries: Column, key, beats) -> Column:
-    """array<struct<e, i>>: of entries with equal keys the one that no other beats, i being where its key is first met."""
-    def found(indexed: Column) -> Column:
-        def winner(k: Column) -> Column:
-            rivals = F.filter(indexed, lambda y: y["k"] == k)
-            best = F.reduce(rivals, F.get(rivals, F.lit(0)), lambda acc, y: F.when(beats(y, acc), y).otherwise(acc))
-            return F.struct(best["e"].alias("e"), F.get(rivals, F.lit(0))["i"].alias("i"))
+def best_by_key(all_entries: Column, key, rank) -> Column:
+    """array<struct<e, i>>: of entries with equal keys the one of the least rank, the first of equals, i being where its key is
+    first met; by key. Two sorts bring equal keys together, so the work grows like n log n."""
 
-        return F.transform(F.array_distinct(F.transform(indexed, lambda x: x["k"])), winner)
+    def heads(ordered: Column) -> Column:
+        return let(ordered, lambda xs: F.filter(xs, lambda x, j: (j == 0) | (x["k"] != F.get(xs, j - 1)["k"])))
 
-    return let(F.transform(all_entries, lambda e, i: F.struct(e.alias("e"), i.alias("i"), key(e).alias("k"))), found)
+    def found(xs: Column) -> Column:
+        best = heads(F.sort_array(xs))
+        met = heads(F.sort_array(F.transform(xs, lambda x: F.struct(x["k"].alias("k"), x["i"].alias("i")))))
+        return F.transform(F.arrays_zip(best.alias("best"), met.alias("met")), lambda z: F.struct(z["best"]["e"].alias("e"), z["met"]["i"].alias("i")))
+
+    return let(F.transform(all_entries, lambda e, i: F.struct(key(e).alias("k"), rank(e).alias("r"), i.alias("i"), e.alias("e"))), found)
 
 
 def _key(x: Column) -> Column:
@@ -48,12 +50,11 @@ def _key(x: Column) -> Column:
 
 def merged_experience(all_entries: Column) -> Column:
     """One entry per company, title and start: the longest description, the first of equals. Latest start first, none last."""
-
-    def beats(z, y):
-        a, b = (F.length(F.coalesce(x["e"]["description"], F.lit(""))) for x in (z, y))
-        return (a > b) | ((a == b) & (z["i"] < y["i"]))
-
-    found = best_by_key(all_entries, lambda e: F.struct(_key(e["company"]).alias("c"), _key(e["title"]).alias("t"), F.coalesce(e["start_date"], F.lit("")).alias("s")), beats)
+    found = best_by_key(
+        all_entries,
+        lambda e: F.struct(_key(e["company"]).alias("c"), _key(e["title"]).alias("t"), F.coalesce(e["start_date"], F.lit("")).alias("s")),
+        lambda e: -F.length(F.coalesce(e["description"], F.lit(""))),
+    )
 
     def later(x, y):
         a, b = (F.coalesce(v["e"]["start_date"], F.lit("")) for v in (x, y))
@@ -63,14 +64,13 @@ def merged_experience(all_entries: Column) -> Column:
 
 
 def merged_education(all_entries: Column) -> Column:
-    """One entry per school and degree: the first with a field of study, else the first."""
-
-    def beats(z, y):
-        a, b = (F.coalesce(x["e"]["field_of_study"], F.lit("")) != "" for x in (z, y))
-        return (a & ~b) | ((a == b) & (z["i"] < y["i"]))
-
-    found = best_by_key(all_entries, lambda e: F.struct(_key(e["school"]).alias("s"), _key(e["degree"]).alias("d")), beats)
-    return F.transform(found, lambda x: x["e"])
+    """One entry per school and degree, in the order of their first ones: the first with a field of study, else the first."""
+    found = best_by_key(
+        all_entries,
+        lambda e: F.struct(_key(e["school"]).alias("s"), _key(e["degree"]).alias("d")),
+        lambda e: F.when(F.coalesce(e["field_of_study"], F.lit("")) != "", 0).otherwise(1),
+    )
+    return F.transform(F.sort_array(F.transform(found, lambda x: F.struct(x["i"].alias("i"), x["e"].alias("e")))), lambda x: x["e"])
 
 
 def _some(array: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from braid.functions.scalars import trimmed
+
 
 def top_n(df: DataFrame, key: str, order, n: int, rank: str = "rank") -> DataFrame:
     """The first n rows of each key. Spark keeps n rows per key before the shuffle as well."""
@@ -20,7 +22,7 @@ def best_experience(entries: DataFrame) -> DataFrame:
     """merged_experience() for tables of entries (candidate_key, seq, title, company, start_date, description): a winner per key
     by one map-side combined maximum."""
     def clean(x):
-        return F.trim(F.lower(F.coalesce(x, F.lit(""))))
+        return trimmed(F.lower(F.coalesce(x, F.lit(""))))
 
     row = F.struct("title", "company", "start_date", "description", "seq")
     order = F.struct(F.length(F.coalesce("description", F.lit(""))).alias("n"), (-F.col("seq")).alias("s"))

@@ -1,7 +1,7 @@
 """Queries over the test tables, one or more per operator, and SQL that computes the same from the tables alone.
 
 The tables stand for the four kinds of sources: customer for CSV exports, documents for texts, pages for profile pages, and
-customers again (every third) for users of a code host; orders and lineitem give experience and education.
+customers again for users of a code host, with events as their repositories; orders and lineitem give experience and education.
 """
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from braid.config import COUNTRIES, PHONES, FusionConfig, aliases
 from braid.functions import scalars as S
-from braid.operators import matching, merge, projection, ranking
+from braid.operators import entities, matching, merge, projection, ranking
+from braid.operators.validation import profile_warnings
 from braid.plans.fusion import fuse, unified
 from braid.sources import api, html, resume, tabular
 
@@ -79,9 +80,8 @@ def page_source(spark, d) -> DataFrame:
 
 
 def user_source(spark, d) -> DataFrame:
-    c = table(spark, d, "customer").filter("c_custkey % 3 = 0")
-    key = F.col("c_custkey").cast("string")
-    return c.select(
+    c, key = table(spark, d, "customer"), F.col("c_custkey").cast("string")
+    return c.join(user_repos(spark, d), F.col("c_custkey") == F.col("user_id"), "left").select(
         key.alias("candidate_key"),
         F.concat(F.lit("The real "), F.col("c_name")).alias("name"),
         F.concat(F.lit("works in "), F.col("c_mktsegment")).alias("bio"),
@@ -89,9 +89,20 @@ def user_source(spark, d) -> DataFrame:
         F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("https://w.example/"), key)).alias("website"),
         F.concat(F.lit("https://github.com/u"), key).alias("profile_url"),
         F.array(F.lit("golang"), F.lit("Python")).alias("skills"),
+        api.top_repos(F.col("repos")).alias("github_repos"),
+        api.languages(F.col("repos")).alias("github_languages"),
     )
 
 
+def repositories(spark, d):
+    return table(spark, d, "events").select("user_id", "event_id", F.concat(F.lit("repo-"), F.col("event_id").cast("string")).alias("name"), F.get_json_object("props", "$.k").cast("int").alias("stars"), F.col("event_type").alias("language"), (F.col("event_type") == "error").alias("fork"))
+
+
+def user_repos(spark, d):
+    repo = F.struct("event_id", "name", F.col("stars").cast("long").alias("stargazers_count"), "fork", "language")
+    return repositories(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(repo)).alias("repos"))
+
+
 def sources(spark, d) -> dict[str, DataFrame]:
     return {"csv": csv_source(spark, d), "resume": text_source(spark, d), "linkedin": page_source(spark, d), "github": user_source(spark, d)}
 
@@ -155,7 +166,7 @@ raw AS (
   UNION ALL
   SELECT c_custkey::VARCHAR, 'github', 3, 'The real ' || c_name, NULL, NULL, c_mktsegment || ', ' || substr(c_mktsegment, 1, 2), NULL, 'works in ' || c_mktsegment, NULL, NULL,
          'https://github.com/u' || c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'https://w.example/' || c_custkey END, ['golang', 'Python']
-  FROM customer WHERE c_custkey % 3 = 0),
+  FROM customer),
 profiles AS (SELECT * REPLACE ({phone_sql('phone')} AS phone) FROM raw)"""
 
 
@@ -192,10 +203,6 @@ def json_user_fields(spark, d):
     return out.select(F.col("candidate_key").cast("long").alias("c_custkey"), "name", "bio", "profile_url", "website", F.array_join("github_repos", ",").alias("repos"))
 
 
-def repositories(spark, d):
-    return table(spark, d, "events").select("user_id", "event_id", F.concat(F.lit("repo-"), F.col("event_id").cast("string")).alias("name"), F.get_json_object("props", "$.k").cast("int").alias("stars"), F.col("event_type").alias("language"), (F.col("event_type") == "error").alias("fork"))
-
-
 @query("""SELECT user_id, rank, name, stars FROM (
   SELECT user_id, 'repo-' || event_id AS name, CAST(json_extract(props, '$.k') AS INTEGER) AS stars,
          row_number() OVER (PARTITION BY user_id ORDER BY CAST(json_extract(props, '$.k') AS INTEGER) DESC, event_id) AS rank
@@ -208,9 +215,7 @@ def top10_repos(spark, d):
   SELECT user_id, 'repo-' || event_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY CAST(json_extract(props, '$.k') AS INTEGER) DESC, event_id) AS r
   FROM events WHERE event_type <> 'error') WHERE r <= 10 GROUP BY user_id""")
 def top10_repos_array(spark, d):
-    repo = F.struct("event_id", "name", F.col("stars").cast("long").alias("stargazers_count"), "fork")
-    grouped = repositories(spark, d).groupBy("user_id").agg(F.sort_array(F.collect_list(repo)).alias("repos"))
-    return grouped.select("user_id", F.array_join(api.top_repos(F.col("repos")), ",").alias("repos")).filter("repos <> ''")
+    return user_repos(spark, d).select("user_id", F.array_join(api.top_repos(F.col("repos")), ",").alias("repos")).filter("repos <> ''")
 
 
 @query("""SELECT user_id, language, n, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, first) AS rank FROM (
@@ -363,6 +368,35 @@ def html_tree(spark, d):
     return table(spark, d, "pages").select("page_id", "html").mapInPandas(f, "page_id long, name string, n_items long")
 
 
+PAGE_PARTS_SQL = """c_name AS name, c_mktsegment || ' & more' AS headline, CASE WHEN c_custkey % 3 <> 0 THEN n_name || ', X' END AS location_raw,
+  CASE WHEN c_custkey % 2 = 0 THEN 'https://www.linkedin.com/in/c' ELSE 'https://linkedin.com/in/other' END || c_custkey AS profile_url"""
+
+
+def built_pages(spark, d):
+    """A profile page around each customer: classes name the parts, and sections hold jobs, schools and skills."""
+    k = F.col("c_custkey").cast("string")
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    html_ = F.concat(
+        F.lit("<html><head><title>t</title>"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('<link rel="canonical" href="https://www.linkedin.com/in/c'), k, F.lit('">'))).otherwise(""),
+        F.lit('</head><body><div><h1 class="top name">'), F.col("c_name"), F.lit('</h1><p class="headline">'), F.col("c_mktsegment"), F.lit(" &amp; more</p>"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit('<p class="location">'), F.col("n_name"), F.lit(", X</p>"))).otherwise(""),
+        F.lit('</div><section><h2>Experience</h2><ul><li><b class="title">'), F.col("c_mktsegment"), F.lit(' lead</b> <i class="company">Acme '), k, F.lit('</i> <u class="date-range">Jan 2010 – Present</u></li><li>x</li><li><b class="title">Clerk</b><u class="date">2001</u></li></ul></section>'),
+        F.lit('<section><h2>My education</h2><ul><li><b class="school">School of '), F.col("n_name"), F.lit('</b><i class="degree">MSc</i><u class="year">2005 - 2007</u></li></ul></section><section><h2>Skills</h2><ul><li>python3</li><li>'), F.col("c_mktsegment"), F.lit('</li><li>Go</li></ul></section><a href="https://linkedin.com/in/other'), k, F.lit('">me</a></body></html>'),
+    )
+    return c.select("c_custkey", html_.alias("html"))
+
+
+@query(f"""SELECT c_custkey::VARCHAR AS candidate_key, {PAGE_PARTS_SQL}, c_mktsegment || ' lead;Acme ' || c_custkey || ';2010-01;present|Clerk;;;' AS jobs, 'School of ' || n_name || ';MSc;2005-01;2007-01' AS schools, 'Python|' || c_mktsegment AS skills
+  FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def html_profiles(spark, d):
+    """The page reader's whole path: classes, sections, entries, periods, links and skills."""
+    out = html.page_profiles(built_pages(spark, d), "c_custkey", cfg=CFG)
+
+    def joined(entries, *fields):
+        return F.array_join(F.transform(entries, lambda e: F.concat_ws(";", *[F.coalesce(e[f], F.lit("")) for f in fields])), "|")
+
+    return out.select("candidate_key", "name", "headline", "location_raw", "profile_url", joined("experience", "title", "company", "start_date", "end_date").alias("jobs"), joined("education", "school", "degree", "start_date", "end_date").alias("schools"), F.array_join("skills", "|").alias("skills"))
+
+
 # ---- scalar functions ----------------------------------------------------------------------------------------------------------
 
 PHONE_FORMS = ["'(415) 555-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')", "'+1 415.555.' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')", "'+91 98765 4' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')", "'12345'", "'call me'", "'011 44 20 7946 ' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')", "'+999 ' || c_custkey"]
@@ -503,21 +537,37 @@ def same_candidate_union(spark, d):
     return matching.matches(*sides(spark, d))
 
 
+@query(f"""WITH RECURSIVE {SIDES_SQL}, r AS (SELECT 'a' || id AS id, email, phone FROM a UNION ALL SELECT 'b' || id, email, phone FROM b),
+links AS (SELECT DISTINCT x.id AS a, y.id AS b FROM r x JOIN r y USING (email) UNION SELECT x.id, y.id FROM r x JOIN r y USING (phone)),
+reach AS (SELECT id, id AS found FROM r UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.found)
+SELECT id, min(found) AS entity FROM reach GROUP BY id""")
+def entity_keys(spark, d):
+    """The candidates of both tables' records, by equal e-mails and phones."""
+    a, b = (x.withColumn("id", F.concat(F.lit(n), F.col("id").cast("string"))) for x, n in zip(sides(spark, d), "ab"))
+    return entities.entity_keys(a.unionByName(b), CFG)
+
+
 @query()
 def name_similarity(spark, d):
-    """Similarity of document titles under each source to the source's first; tests compare the function with a plain version."""
-    n = table(spark, d, "nation").select("n_nationkey", "n_name")
-    other = n.select((F.col("n_nationkey") - 1).alias("n_nationkey"), F.concat(F.col("n_name"), F.lit(" land")).alias("other"))
-    return n.join(other, "n_nationkey").select("n_nationkey", "n_name", "other", F.round(S.token_sort_ratio(F.col("n_name"), F.col("other")), 6).alias("ratio"), S.names_match(F.col("n_name"), F.col("other")).alias("same"))
+    """Each record's name against that of its candidate's first record. Tests compare the function with a plain version."""
+    rows = merge.normalized(unified(sources(spark, d)), CFG).filter("name <> ''").select("candidate_key", "source", "name", S.priority(F.col("source"), CFG).alias("prio"))
+    first = rows.groupBy("candidate_key").agg(F.min_by(F.struct("source", "name"), "prio").alias("a"))
+    pairs = rows.join(first, "candidate_key").filter("source <> a.source")
+    return pairs.select("candidate_key", "source", "name", F.col("a.name").alias("other"), F.round(S.token_sort_ratio(F.col("name"), F.col("a.name")), 6).alias("ratio"), S.names_match(F.col("name"), F.col("a.name")).alias("same"))
+
+
+@query()
+def consistency_conflicts(spark, d):
+    """Names' similarity has no SQL; tests compare with a plain version."""
+    return matching.conflicts(merge.normalized(unified(sources(spark, d)), CFG), CFG)
 
 
 @query(f"""WITH {PROFILES}, t AS (SELECT *, first(source) OVER w AS a, first(lower(trim(email))) OVER w AS ae, first(phone) OVER w AS ap, row_number() OVER w AS r FROM profiles WINDOW w AS (PARTITION BY k ORDER BY prio))
 SELECT k AS candidate_key, source, a AS anchor_source, coalesce(lower(trim(email)) <> ae, false) AS email_conflict, coalesce(phone <> ap, false) AS phone_conflict
 FROM t WHERE r > 1 AND NOT coalesce(lower(trim(email)) = ae, false) AND NOT coalesce(phone = ap, false) AND (coalesce(lower(trim(email)) <> ae, false) OR coalesce(phone <> ap, false))""")
-def consistency_conflicts(spark, d):
-    """Names are left out here: their similarity has no SQL."""
-    profiles = merge.normalized(unified(sources(spark, d)), CFG).withColumn("name", F.lit(None).cast("string"))
-    return matching.conflicts(profiles, CFG).drop("name_conflict")
+def contact_conflicts(spark, d):
+    """The conflicts of e-mails and phones alone."""
+    return matching.conflicts(merge.normalized(unified(sources(spark, d)), CFG), CFG).filter("email_conflict or phone_conflict").drop("name_conflict")
 
 
 # ---- merge, confidence, validation ---------------------------------------------------------------------------------------------
@@ -589,13 +639,13 @@ def experience_winners(spark, d):
     return ranking.best_experience(jobs(spark, d)).select("candidate_key", "seq", F.length("description").cast("long").alias("n"), "first")
 
 
-@query("""WITH e AS (SELECT DISTINCT l_suppkey, p_brand AS school, p_type AS degree, CASE WHEN p_size % 2 = 0 THEN p_name END AS field, l_partkey AS seq FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 10 = 1 AND l_linenumber = 1),
+@query("""WITH e AS (SELECT DISTINCT l_suppkey, p_brand AS school, p_type AS degree, CASE WHEN p_size % 2 = 0 THEN p_name END AS field, l_partkey AS seq FROM lineitem JOIN part ON l_partkey = p_partkey),
 b AS (SELECT l_suppkey, school, degree, arg_min((field,), (field IS NULL, seq))[1] AS field_of_study, min(seq) AS first FROM e GROUP BY l_suppkey, school, degree)
 SELECT l_suppkey::VARCHAR AS candidate_key, row_number() OVER (PARTITION BY l_suppkey ORDER BY first) AS n, school, degree, field_of_study FROM b""")
 def merge_education_dedup(spark, d):
-    """Suppliers whose key ends in 1, and parts of first lines: what an education is here."""
+    """What an education is here: the parts that a supplier has sold."""
     p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("field"))
-    e = table(spark, d, "lineitem").filter("l_suppkey % 10 = 1 and l_linenumber = 1").select("l_suppkey", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey"))
+    e = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct().join(p, F.col("l_partkey") == F.col("p_partkey"))
     entry = F.struct(F.col("p_partkey").alias("seq"), "p_brand", "p_type", "field")
     null = F.lit(None).cast("string")
     entries = F.transform(F.sort_array(F.collect_list(entry)), lambda x: F.struct(x["p_brand"].alias("school"), x["p_type"].alias("degree"), x["field"].alias("field_of_study"), null.alias("start_date"), null.alias("end_date"), F.lit("linkedin").alias("source")))
@@ -604,6 +654,18 @@ def merge_education_dedup(spark, d):
     return out.select("candidate_key", (F.col("i") + 1).cast("long").alias("n"), "e.school", "e.degree", "e.field_of_study")
 
 
+REPOS_SQL = """top AS (SELECT user_id, string_agg(name, ',' ORDER BY r) AS repos FROM (
+  SELECT user_id, 'repo-' || event_id AS name, row_number() OVER (PARTITION BY user_id ORDER BY CAST(json_extract(props, '$.k') AS INTEGER) DESC, event_id) AS r FROM events WHERE event_type <> 'error') WHERE r <= 10 GROUP BY user_id),
+spoken AS (SELECT user_id, string_agg(language, ',' ORDER BY n DESC, first) AS languages FROM (SELECT user_id, event_type AS language, count(*) AS n, min(event_id) AS first FROM events WHERE event_type <> '' GROUP BY ALL) GROUP BY user_id)"""
+
+
+@query(f"""WITH {REPOS_SQL}, keys AS (SELECT c_custkey AS k FROM customer UNION SELECT doc_id FROM documents UNION SELECT page_id FROM pages)
+SELECT k::VARCHAR AS candidate_key, CASE WHEN c_custkey IS NULL THEN '' ELSE coalesce(repos, '') END AS repos, CASE WHEN c_custkey IS NULL THEN '' ELSE coalesce(languages, '') END AS languages
+FROM keys LEFT JOIN customer ON c_custkey = k LEFT JOIN top ON top.user_id = k LEFT JOIN spoken ON spoken.user_id = k""")
+def merge_repos_languages(spark, d):
+    return merged(spark, d).select("candidate_key", F.array_join("github_repos", ",").alias("repos"), F.array_join("github_languages", ",").alias("languages"))
+
+
 @query(f"WITH {PROFILES} SELECT k AS candidate_key, string_agg(source, '|' ORDER BY prio) AS sources_used FROM profiles GROUP BY k")
 def sources_used(spark, d):
     return merged(spark, d).select("candidate_key", F.array_join("sources_used", "|").alias("sources_used"))
@@ -623,7 +685,7 @@ def _weight(name: str) -> float:
     return CFG.weights.get(name, 0.5)
 
 
-OVERALL_SQL = f"""{MAILS_SQL}, {PHONES_SQL},
+OVERALL_SQL = f"""{MAILS_SQL}, {PHONES_SQL}, {REPOS_SQL},
 pick AS (SELECT k, arg_max(source, (len(name), -prio)) FILTER (WHERE name <> '') AS full_name, arg_min(source, prio) FILTER (WHERE phone IS NOT NULL) AS phones, arg_min(source, prio) FILTER (WHERE loc <> '') AS location, arg_min(source, prio) FILTER (WHERE headline <> '') AS headline,
   arg_min(source, prio) FILTER (WHERE company <> '') AS current_company, arg_min(source, prio) FILTER (WHERE title <> '') AS current_title, arg_min(source, prio) FILTER (WHERE bio <> '') AS bio, arg_min(source, prio) FILTER (WHERE url <> '' OR website <> '') AS links FROM profiles GROUP BY k),
 chosen AS (SELECT pick.*, lead.source AS emails, coalesce(lead.source, phones, full_name) AS candidate_id FROM pick LEFT JOIN lead USING (k)),
@@ -633,14 +695,14 @@ fields AS (""" + " UNION ALL ".join(
         *[(f, c, confidence_sql(c)) for f, c in (("full_name", "full_name"), ("name", "full_name"), ("emails", "emails"), ("email", "emails"), ("phones", "phones"), ("phone", "phones"))],
         *[(f, f, confidence_sql(f)) for f in ("candidate_id", "location", "headline", "current_company", "current_title", "bio", "links")],
     ]
-) + f""" UNION ALL SELECT k, 'skills', round(avg({confidence_sql('skills')}), 4), 0.8::DOUBLE FROM profiles WHERE len(skills) > 0 GROUP BY k)"""
+) + f""" UNION ALL SELECT k, 'skills', round(avg({confidence_sql('skills')}), 4), 0.8::DOUBLE FROM profiles WHERE len(skills) > 0 GROUP BY k
+UNION ALL SELECT c_custkey::VARCHAR, 'github_repos', {CFG.confidence('github', 'github_repos')}::DOUBLE, {_weight('github_repos')}::DOUBLE FROM customer JOIN top ON user_id = c_custkey
+UNION ALL SELECT c_custkey::VARCHAR, 'github_languages', {CFG.confidence('github', 'github_languages')}::DOUBLE, {_weight('github_languages')}::DOUBLE FROM customer JOIN spoken ON user_id = c_custkey)"""
 
 
-@query(f"WITH {PROFILES}, {OVERALL_SQL}, overall AS (SELECT k, sum(c * w) / sum(w) AS o FROM fields GROUP BY k) SELECT k AS candidate_key, round(o, 3) AS overall_confidence FROM overall")
+@query(f"WITH {PROFILES}, {OVERALL_SQL}, overall AS (SELECT k, sum(c * w) / sum(w) AS o FROM fields GROUP BY k) SELECT k AS candidate_key, format('{{:.4f}}', o)::DOUBLE AS overall_confidence FROM overall")
 def overall_confidence(spark, d):
-    """To three digits: the fourth's ties are broken on binary values, which SQL's round() doesn't see."""
-    exact = F.aggregate(F.map_entries("confidence"), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("w")), lambda a, e: F.struct((a["n"] + e["value"] * S.lookup(CFG.weights, e["key"], F.lit(0.5))).alias("n"), (a["w"] + S.lookup(CFG.weights, e["key"], F.lit(0.5))).alias("w")), lambda a: a["n"] / a["w"])
-    return merged(spark, d).select("candidate_key", F.round(exact, 3).alias("overall_confidence"))
+    return merged(spark, d).select("candidate_key", "overall_confidence")
 
 
 @query(f"""WITH {PROFILES}, {MAILS_SQL}, {PHONES_SQL}, base AS (SELECT k, count(*) FILTER (WHERE name <> '') AS names, count(*) FILTER (WHERE len(skills) > 0) AS skilled FROM profiles GROUP BY k)
@@ -653,6 +715,20 @@ def validation_warnings(spark, d):
     return fused(spark, d).select("candidate_key", F.array_join("warnings", "|").alias("warnings"))
 
 
+@query(r"""SELECT c_custkey, coalesce(array_to_string([x FOR x IN [CASE WHEN c_custkey % 3 = 0 THEN 'Invalid email format: ''no mail ' || c_custkey || chr(39) END, CASE WHEN c_custkey % 3 = 1 THEN 'Invalid email format: "it''s@x"' END,
+  CASE WHEN c_custkey % 4 = 0 THEN 'Phone is not valid E.164: ''12345''' END, CASE WHEN c_custkey % 7 = 0 THEN 'No name found in any source' END, CASE WHEN c_custkey % 5 = 0 THEN 'No skills extracted from any source' END,
+  CASE WHEN c_custkey % 10 < 4 THEN 'Overall confidence is low (0.' || (c_custkey % 10) || '0); verify source quality' END] IF x IS NOT NULL], '|'), '') AS warnings FROM customer""")
+def validation_formats(spark, d):
+    """Warnings of profiles with bad e-mails and phones and low confidences, which a merge of clean sources doesn't give."""
+    n, none = F.col("c_custkey"), F.array().cast("array<string>")
+    mails = F.when(n % 3 == 0, F.array(F.lit("a.b@c.de"), F.concat(F.lit("no mail "), n.cast("string")))).when(n % 3 == 1, F.array(F.lit("it's@x"))).otherwise(F.array(F.lit("x@y.org")))
+    profile = table(spark, d, "customer").select(
+        "c_custkey", mails.alias("emails"), F.when(n % 4 == 0, F.array(F.lit("12345"), F.lit("+14155552671"))).otherwise(none).alias("phones"), F.when(n % 7 != 0, F.col("c_name")).alias("full_name"),
+        F.when(n % 5 == 0, none).otherwise(F.array(F.lit("Go"))).alias("skills"), ((n % 10) / 10).alias("overall_confidence"),
+    )
+    return profile.select("c_custkey", F.array_join(profile_warnings(CFG), "|").alias("warnings"))
+
+
 # ---- projection ----------------------------------------------------------------------------------------------------------------
 
 CORE_SQL = f"""{PROFILES}, {MAILS_SQL}, {PHONES_SQL}, core AS (
@@ -693,6 +769,20 @@ def project_provenance_block(spark, d):
     return out.select("candidate_key", F.explode("provenance").alias("field", "p")).select("candidate_key", "field", "p.source", "p.method")
 
 
+@query(f"""{PHONES_CTE}, w AS (SELECT c_custkey::VARCHAR AS candidate_key, raw, {phone_sql('raw')} AS phone FROM p)
+SELECT candidate_key, asked, CASE WHEN asked IN ('map', 'all') THEN coalesce(phone, '') ELSE raw END AS phones, CASE WHEN asked IN ('list', 'all') THEN 'Machine Learning|Cooking' ELSE 'ML|machine learning|Cooking' END AS skills
+FROM w, (VALUES ('map'), ('list'), ('all'), ('off')) v(asked)""")
+def project_normalized(spark, d):
+    """Each way to ask for normalized output: by field, by list, for all, not at all."""
+    base = phones(spark, d).select(F.col("c_custkey").cast("string").alias("candidate_key"), F.array("raw").alias("phones"), F.array(F.lit("ML"), F.lit("machine learning"), F.lit("Cooking")).alias("skills"), F.array(F.lit("csv")).alias("sources_used"))
+    out = None
+    for asked, normalize in (("map", {"phones": True}), ("list", ["skills"]), ("all", True), ("off", False)):
+        config = {"include": ["phones", "skills"], "normalize": normalize, "show_confidence": False, "show_provenance": False}
+        one = projection.project(base, config, CFG).select("candidate_key", F.lit(asked).alias("asked"), F.coalesce(F.array_join("phones", "|"), F.lit("")).alias("phones"), F.array_join("skills", "|").alias("skills"))
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query(f"""WITH {CORE_SQL} SELECT k AS candidate_key, candidate_id, full_name, coalesce(array_to_string(emails, '|'), '') AS emails, coalesce(array_to_string(phones, '|'), '') AS phones, headline, sources_used FROM named""")
 def fused_profile(spark, d):
     return fused(spark, d).select("candidate_key", "candidate_id", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "headline", F.array_join("sources_used", "|").alias("sources_used"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braid.config import FusionConfig
+from braid.operators.entities import with_entity_keys
 from braid.operators.matching import conflicts
 from braid.operators.merge import merge_profiles, normalized
 from braid.operators.projection import Projection, load_config, project_json
@@ -38,16 +39,26 @@ def fuse_to_json(sources: dict[str, DataFrame], cfg: FusionConfig | None = None,
     return project_json(fuse(sources, cfg, config), config, cfg)
 
 
-def run(spark: SparkSession, csv: str | None = None, resume_text: str | None = None, html: str | None = None, user: str | None = None, config: str | None = None, cfg: FusionConfig | None = None) -> DataFrame:
-    """(candidate_key, json) of one candidate's files. A source that can't be read is logged and left out; without any, ValueError."""
+def fuse_records(sources: dict[str, DataFrame], cfg: FusionConfig | None = None, config: dict | None = None) -> DataFrame:
+    """Canonical profiles of whole tables of records that don't say which candidate they are of: equal e-mails and phones do."""
+    return fuse(with_entity_keys(sources, cfg), cfg, config)
+
+
+def is_pdf(path: str) -> bool:
+    return path.lower().endswith(".pdf")
+
+
+def run(spark: SparkSession, csv: str | None = None, resume: str | None = None, html: str | None = None, user: str | None = None, config: str | None = None, cfg: FusionConfig | None = None) -> DataFrame:
+    """(candidate_key, json) of one candidate's files; a résumé is a PDF if its name says so, else text. A source that can't be read is logged and left out; without any, ValueError."""
     from braid.sources.api import read_users
     from braid.sources.html import read_html
+    from braid.sources.pdf import read_pdf
     from braid.sources.resume import resume_profiles
     from braid.sources.tabular import read_csv
 
     readers: list[tuple[str, str | None, Callable[[str], DataFrame]]] = [
         ("csv", csv, lambda p: read_csv(spark, p, first_row_only=True)),
-        ("resume", resume_text, lambda p: resume_profiles(spark.read.text(p, wholetext=True).withColumn("k", F.lit("1")), "k", "value")),
+        ("resume", resume, lambda p: resume_profiles((read_pdf(spark, p) if is_pdf(p) else spark.read.text(p, wholetext=True).withColumnRenamed("value", "text")).filter("text is not null").withColumn("k", F.lit("1")), "k")),
         ("linkedin", html, lambda p: read_html(spark, p)),
         ("github", user, lambda p: read_users(spark, p)),
     ]

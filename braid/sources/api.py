@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from braid.functions.scalars import first_of
+from braid.functions.scalars import first_of, let
 
 USER = "struct<login:string,name:string,bio:string,location:string,blog:string,html_url:string>"
 REPOS = "array<struct<name:string,language:string,stargazers_count:bigint,fork:boolean>>"
@@ -30,9 +30,13 @@ def top_repos(repos: Column, n: int = TOP_REPOS) -> Column:
 
 def languages(repos: Column) -> Column:
     """Languages by number of repositories, forks included; the one met first of equals."""
-    used = F.filter(F.transform(repos, lambda r: r["language"]), lambda x: x != "")
-    counted = F.transform(F.array_distinct(used), lambda x, i: F.struct((-F.size(F.filter(used, lambda y: y == x))).alias("less"), i.alias("i"), x.alias("name")))
-    return F.transform(F.array_sort(counted), lambda x: x["name"])
+    used = F.filter(F.transform(repos, lambda r, i: F.struct(r["language"].alias("name"), i.alias("i"))), lambda x: x["name"] != "")
+
+    def counted(xs: Column) -> Column:
+        starts = F.filter(F.transform(xs, lambda x, j: F.struct(j.alias("j"), x["i"].alias("i"), x["name"].alias("name"))), lambda x: (x["j"] == 0) | (x["name"] != F.get(xs, x["j"] - 1)["name"]))
+        return let(starts, lambda ys: F.transform(ys, lambda y, k: F.struct((y["j"] - F.coalesce(F.get(ys, k + 1)["j"], F.size(xs))).alias("less"), y["i"].alias("i"), y["name"].alias("name"))))
+
+    return F.transform(F.sort_array(let(F.sort_array(used), counted)), lambda x: x["name"])
 
 
 def user_profiles(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -1,11 +1,11 @@
 """Text of résumés: contact data, name, place, and sections with their entries. All in array expressions: no shuffle, no Python."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braid.config import FusionConfig
-from braid.functions.scalars import canonical_skills, normalize_date, trimmed, truthy
+from braid.functions.scalars import canonical_skills, let, normalize_date, trimmed, truthy
 
 # The patterns.
 EMAIL = r"[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}"
@@ -52,35 +52,43 @@ def first_place(text: Column) -> Column:
 
 
 def name_line(lines: Column, unicode: bool = True) -> Column:
-    """The first line of up to five words that holds no e-mail, phone or address."""
+    """The first line of up to five words that holds no e-mail, phone or address. The cheap tests come first, and patterns are only
+    tried on lines before one that fits."""
 
     def fits(s: Column) -> Column:
-        plain = ~s.rlike(pattern(EMAIL, unicode)) & ~s.rlike(pattern(PHONE, unicode))
-        return (s != "") & plain & (F.size(F.split(s, pattern(r"\s+", unicode))) <= 5) & ~s.startswith("http") & ~s.startswith("www")
+        short = (s != "") & ~s.startswith("http") & ~s.startswith("www") & (F.size(F.split(s, pattern(r"\s+", unicode), 6)) <= 5)
+        return F.when(short, ~s.rlike(pattern(EMAIL, unicode)) & ~s.rlike(pattern(PHONE, unicode))).otherwise(F.lit(False))
 
-    return F.try_element_at(F.filter(F.transform(lines, trimmed), fits), F.lit(1))
+    return F.aggregate(lines, F.lit(None).cast("string"), lambda acc, x: F.when(acc.isNotNull(), acc).otherwise(let(trimmed(x), lambda s: F.when(fits(s), s))))
+
+
+#: Any of the headers, so that most lines take one test.
+HEADER_LINE = "(?i)^\\s*(?:" + "|".join(HEADERS.values()) + ")\\s*$"
 
 
 def header_of(line: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, words in reversed(HEADERS.items()):
-        out = F.when(trimmed(line).rlike(rf"(?i)^\s*(?:{words})\s*$"), name).otherwise(out)
+        out = F.when(line.rlike(rf"(?i)^\s*(?:{words})\s*$"), name).otherwise(out)
     return out
 
 
 def sections(lines: Column) -> Column:
     """array<struct<section, line>>: lines after a header, each with the last header above it; headers themselves left out.
 
-    One fold over the lines; headers that aren't known end no section, and repeated ones go on with theirs.
+    The headers' places are found first, then the lines between them are cut out, so the work follows the number of lines.
+    Headers that aren't known end no section, and repeated ones go on with theirs.
     """
-    start = F.struct(F.lit(None).cast("string").alias("now"), F.array().cast("array<struct<section:string,line:string>>").alias("out"))
+    headers = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), let(trimmed(x), lambda s: F.when(s.rlike(HEADER_LINE), header_of(s))).alias("name"))), lambda h: h["name"].isNotNull())
 
-    def step(acc: Column, line: Column) -> Column:
-        header = header_of(line)
-        more = F.when(header.isNull() & acc["now"].isNotNull(), F.array_append(acc["out"], F.struct(acc["now"].alias("section"), line.alias("line")))).otherwise(acc["out"])
-        return F.struct(F.coalesce(header, acc["now"]).alias("now"), more.alias("out"))
+    def cut(hs: Column) -> Column:
+        def body(h: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(hs, k + 1)["i"], F.size(lines))
+            return F.transform(F.slice(lines, h["i"] + 2, end - h["i"] - 1), lambda x: F.struct(h["name"].alias("section"), x.alias("line")))
 
-    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+        return F.flatten(F.transform(hs, body))
+
+    return let(headers, cut)
 
 
 def section(found: Column, name: str) -> Column:
@@ -209,14 +217,3 @@ def resume_profiles(texts: DataFrame, key: str, text: str = "text", cfg: FusionC
         experience_entries(part["experience"]).alias("experience"),
         education_entries(part["education"]).alias("education"),
     )
-
-
-def read_pdf(spark: SparkSession, path: str, decode) -> DataFrame:
-    """(path, text) of the files at path: decode(bytes) gives the list of page texts. No decoder comes along."""
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def text(content: pd.Series) -> pd.Series:
-        return content.map(lambda b: "\n".join(p or "" for p in decode(bytes(b))))
-
-    return spark.read.format("binaryFile").load(path).select("path", text("content").alias("text"))

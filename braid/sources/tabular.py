@@ -24,11 +24,13 @@ def cell(df: DataFrame, name: str) -> Column:
 
 
 def table_profiles(df: DataFrame, key: Column | None = None) -> DataFrame:
-    """Source profiles of any table with some of the expected columns; without a key, the row's e-mail, phone or name is one."""
+    """Source profiles of any table with some of the expected columns. Without a key, the row's e-mail or phone is one, else the row
+    itself: people of one name aren't one candidate."""
     if missing := missing_columns(df.columns):
         log.warning("columns not there: %s", missing)
     fields = {to: cell(df, c) for c, to in EXPECTED.items()}
-    own = F.lower(F.coalesce(fields["email"], fields["phone"], fields["name"]))
+    row = F.concat(F.lit("row-"), F.hex(F.xxhash64(*fields.values())))
+    own = F.lower(F.coalesce(fields["email"], fields["phone"], row))
     return df.select((own if key is None else key.cast("string")).alias("candidate_key"), *[c.alias(n) for n, c in fields.items()])
 
 
