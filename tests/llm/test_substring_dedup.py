@@ -62,3 +62,33 @@ def test_long_and_empty(spark):
     assert run(spark, rows[2:]) == brute(rows[2:])
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring_dedup.substring_dedup(empty).collect() == []
+
+
+def test_text_ids(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    rows = [("b", words), ("a", words + " end"), (None, words), ("c", "new " + words)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring_dedup.substring_dedup(docs).collect()}
+    assert got == {"a": (31, 0, words + " end"), "b": (30, 30, ""), "c": (31, 30, "new"), None: (30, 30, "")}
+
+
+def test_paths_are_compacted(spark):
+    """Two passages that three documents share, one of them with two ways on: each nonbranching piece is one path."""
+    import pyspark.sql.functions as F
+
+    r = random.Random(1)
+    a, b, c, d = ([f"{x}{r.randrange(10**9)}" for _ in range(200)] for x in "abcd")
+    rows = [(1, " ".join(a + b)), (2, " ".join(a + c)), (3, " ".join(a + b)), (4, " ".join(a + c)), (5, " ".join(d)), (6, " ".join(d))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = substring_dedup.unit_rows(substring_dedup.text_rows(docs, "doc_id", "text"))
+    distinct = known.groupBy("mh", "sh").agg(F.min(F.struct("doc", "loc")).alias("s")).select("mh", "sh", "s.doc", "s.loc")
+    paths = distinct.withColumn("fork", F.count("*").over(substring_dedup.Window.partitionBy("mh")) > 1)
+    graph = substring_dedup.opened(substring_dedup.text_rows(docs, "doc_id", "text"), paths).join(paths, ["mh", "sh"])
+    names = substring_dedup.compacted(graph).groupBy("path").count().collect()
+    assert len(names) <= 4 + sum(x.fork for x in paths.collect()) and max(x["count"] for x in names) >= 25
+
+
+def test_equal_hashes_of_other_words_stay(spark, monkeypatch):
+    """A stretch whose words differ from its origin's stays, whatever the hashes say."""
+    span = {"start": 0, "n": 1, "digest": substring_dedup.passage([b"x"] * 13, 0, 1)}
+    assert substring_dedup.covered([b"x"] * 13, [span]).all() and not substring_dedup.covered([b"x"] * 12 + [b"y"], [span]).any()
