@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 import itertools
 import re
 from functools import lru_cache
@@ -23,8 +22,8 @@ from braid.llm.batches import over_texts, ragged
 from braid.llm.common import documents, text_or_empty
 
 NO_RANK = np.int32(2**31 - 1)
-#: Rows longer than this go through a heap instead: a matrix's work grows with the square of the length.
-MATRIX_BYTES = 512
+#: Columns of a matrix at most; a longer row gets a matrix of its own, with a row for each block of so many bytes.
+BLOCK_BYTES = 512
 #: Pieces, and characters of them, that a worker remembers before it starts anew.
 CACHE_PIECES, CACHE_CHARS = 250_000, 16_000_000
 #: The characters with the White_Space property.
@@ -129,31 +128,39 @@ def merged_matrix(rows: np.ndarray, pair: PairTable) -> list[np.ndarray]:
             ranks[n[after], at[after]] = pair(best[after], rows[n[after], at[after] + 1])
 
 
-def merged_long(ids: np.ndarray, pair: PairTable) -> np.ndarray:
-    """The same merges of one long row, by a heap of pairs over a linked list."""
-    ids, n = ids.tolist(), len(ids)
-    first = pair(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-    heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NO_RANK]
-    heapq.heapify(heap)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def push(i, j):
-        r = int(pair(np.array([ids[i]]), np.array([ids[j]]))[0])
-        if r != NO_RANK:
-            heapq.heappush(heap, (r, i, ids[i], ids[j]))
-
-    while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = after[i]
-        if ids[i] != a or j >= n or ids[j] != b:
-            continue
-        ids[i], ids[j], after[i] = r, -1, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            push(i, after[i])
-        if before[i] >= 0:
-            push(before[i], i)
-    return np.array([x for x in ids if x >= 0], np.int32)
+def merged_blocks(ids: np.ndarray, pair: PairTable, width: int) -> np.ndarray:
+    """The same rounds for one long row, whose matrix has a row for each block of it: a round finds the block of least rank, then
+    the pair, and compacts the one block that loses a token. A pair over two blocks belongs to the left one."""
+    blocks = -(-len(ids) // width)
+    rows, ranks = np.full((blocks, width), -1, np.int32), np.full((blocks, width), NO_RANK, np.int32)
+    rows.ravel()[: len(ids)] = ids
+    ranks.ravel()[: len(ids) - 1] = pair(ids[:-1], ids[1:])
+    least = ranks.min(axis=1)
+    size = [min(width, len(ids) - i * width) for i in range(blocks)]
+    after, before = list(range(1, blocks + 1)), list(range(-1, blocks - 1))  # neighbours that aren't empty
+    while (best := least[(b := int(least.argmin()))]) != NO_RANK:
+        at = int(ranks[b].argmin())  # the leftmost of equals, in the leftmost block of equals
+        c, k = (b, at + 1) if at + 1 < size[b] else (after[b], 0)
+        size[c] -= 1
+        n = size[c]
+        for x, none in ((rows, -1), (ranks, NO_RANK)):
+            x[c, k:n] = x[c, k + 1 : n + 1]
+            x[c, n] = none
+        rows[b, at] = best
+        if not n:
+            if before[c] >= 0:
+                after[before[c]] = after[c]
+            if after[c] < blocks:
+                before[after[c]] = before[c]
+        right = rows[b, at + 1] if at + 1 < size[b] else rows[after[b], 0] if after[b] < blocks else -1
+        d, j = (b, at - 1) if at else (before[b], size[before[b]] - 1)
+        left = rows[d, j] if d >= 0 else -1
+        ranks[b, at], new = pair(np.array([best, left]), np.array([right, best]))
+        if d >= 0:
+            ranks[d, j] = new
+        for i in {b, c, d} - {-1}:
+            least[i] = ranks[i].min()
+    return rows[rows >= 0]
 
 
 def merged(parts: list[bytes], v: Vocabulary) -> list[np.ndarray]:
@@ -164,8 +171,8 @@ def merged(parts: list[bytes], v: Vocabulary) -> list[np.ndarray]:
         whole = v.ids.get(p)
         if whole is not None:
             out[i] = np.array([whole], np.int32)
-        elif len(p) > MATRIX_BYTES:
-            out[i] = merged_long(v.byte_ids[np.frombuffer(p, np.uint8)], v.pair)
+        elif len(p) > BLOCK_BYTES:
+            out[i] = merged_blocks(v.byte_ids[np.frombuffer(p, np.uint8)], v.pair, BLOCK_BYTES)
         else:
             bands.setdefault(-(-len(p) // 4) if len(p) <= 32 else 8 + (len(p) - 1).bit_length(), []).append(i)
     for members in bands.values():
@@ -286,10 +293,14 @@ def encoded(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     """One row per input row: id_col, n_tokens, ids (if asked for), ids_sha256 and decoded_sha256 (if asked for).
 
     decoded_sha256 is that of the bytes which the ids decode to. Null texts are empty and have no ids. Texts of any length are
-    encoded whole; runs without white space of over 512 bytes are merged by a heap, with equal results. Nothing is shuffled.
+    encoded whole. Rows are encoded one by one, so repeated rows and null ids stay; an empty table gives an empty result; other
+    columns are ignored. Nothing is shuffled. Texts are cut at spaces before the pattern is applied, which only the default
+    pattern allows; another one is refused.
     """
     file, own = rank_file(path)
-    pattern = pattern or own
+    if pattern not in (None, own):
+        raise ValueError("only public_tokenizers.PATTERN may be applied to texts that are cut at spaces")
+    pattern = own
 
     def make():
         coder = encoder(file, pattern)

@@ -41,12 +41,13 @@ def test_random(both):
     assert back == [t.encode() for t in texts]
 
 
-def test_heap_equals_matrix(both):
+@pytest.mark.parametrize("width", [1, 2, 7, 64])
+def test_blocks_equal_the_matrix(both, width):
     v = both[0].v
     r = random.Random(6)
-    for _ in range(50):
-        row = v.byte_ids[np.frombuffer("".join(r.choice("aabtheino ") for _ in range(r.randrange(2, 200))).encode(), np.uint8)]
-        assert bpe.merged_long(row, v.pair).tolist() == bpe.merged_matrix(row[None, :], v.pair)[0].tolist()
+    for n in [*(r.randrange(2, 200) for _ in range(50)), 2, width + 1]:
+        row = v.byte_ids[np.frombuffer("".join(r.choice("aabtheino ") for _ in range(n)).encode(), np.uint8)]
+        assert bpe.merged_blocks(row, v.pair, width).tolist() == bpe.merged_matrix(row[None, :], v.pair)[0].tolist()
 
 
 def test_frames(spark, both):
@@ -58,4 +59,7 @@ def test_frames(spark, both):
     assert got[1].ids == both[1].encode_ordinary("ab cd")
     back = {r.doc_id: bytes(r.decoded) for r in bpe.decoded(out).collect()}
     assert back == {i: (t or "").encode() for i, t, _ in rows}
+    assert bpe.encoded(docs.limit(0), digests=True).collect() == []
+    with pytest.raises(ValueError):
+        bpe.encoded(docs, pattern=r"\w+")
     assert bpe.encoded(docs.limit(0)).collect() == []
