@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from braid.llm.batches import over_texts
-from braid.llm.common import dropped, text_or_empty, written
+from braid.llm.common import dropped, freed, text_or_empty, written
 from braid.llm.components import components
 
 SHINGLE, SIMILARITY = 5, (4, 5)
@@ -68,37 +68,43 @@ def sums(text: bytes) -> tuple[np.ndarray, int]:
     return 2 * out - len(hashes), len(hashes)
 
 
-def signatures(margin: np.ndarray) -> tuple[np.ndarray, int]:
-    """Keys of the deletion variants: the segment's number, the deleted bit's, and the segment without it. And the sketch."""
+def segments(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """The segments' bits, their least certain bits' numbers, and the sketch."""
     bits = margin > 0
     cut = margin[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH)
     value = bits[: SEGMENTS * WIDTH].reshape(SEGMENTS, WIDTH) @ (1 << np.arange(WIDTH))
     weak = np.argsort(np.abs(cut), axis=1, kind="stable")[:, :WILDCARDS]
-    keys = np.arange(SEGMENTS)[:, None] << 32 | weak << 24 | value[:, None] & ~(1 << weak)
-    return keys.ravel(), int(np.packbits(bits[SEGMENTS * WIDTH :]).view(np.int64)[0])
+    return value, weak, int(np.packbits(bits[SEGMENTS * WIDTH :]).view(np.int64)[0])
+
+
+#: SQL of the keys of the deletion variants: the segment's number, the deleted bit's, and the segment without it.
+SIGNATURES = f"""transform(weak, (w, i) -> shiftleft(cast(i div {WILDCARDS} as bigint), 32) | shiftleft(cast(w as bigint), 24)
+  | (cast(segments[cast(i div {WILDCARDS} as int)] as bigint) & ~shiftleft(1L, cast(w as int))))"""
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, node, size, sketch, keys): a hash of the text, its number of distinct shingles, and its signatures."""
+    """(id_col, node, size, sketch, segments, weak): a hash of the text, its number of distinct shingles, and what its signatures are
+    made of, which is a tenth of their size."""
 
     def make():
         def f(batch):
-            size, sketch, keys = [], [], []
+            size, sketch, values, weak = [], [], [], []
             for t in batch.column(2).cast(pa.binary()).to_pylist():
                 margin, n = sums(t)
-                k, s = signatures(margin)
+                v, w, s = segments(margin)
                 size.append(n)
                 sketch.append(s)
-                keys.append(k)
-            offsets = pa.array(np.arange(len(keys) + 1) * SEGMENTS * WILDCARDS, pa.int32())
-            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(sketch, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys), pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, [id_col, "node", "size", "sketch", "keys"])
+                values.append(v)
+                weak.append(w.ravel())
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * n, pa.int32()), pa.array(np.concatenate(x), kind)) for x, n, kind in ((values, SEGMENTS, pa.int32()), (weak, SEGMENTS * WILDCARDS, pa.int8()))]
+            columns = [batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(sketch, pa.int64()), *lists]
+            return pa.RecordBatch.from_arrays(columns, [id_col, "node", "size", "sketch", "segments", "weak"])
 
         return f
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col), F.xxhash64(text).alias("node"), text.alias("__text"))
-    return over_texts(rows, "__text", make, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, node long, size int, sketch long, keys array<long>")
+    return over_texts(rows, "__text", make, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, node long, size int, sketch long, segments array<int>, weak array<tinyint>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
@@ -133,44 +139,60 @@ def like(size: str, sketch: str, other_size: str, other_sketch: str) -> str:
     return f"{SIMILARITY[1]} * least({size}, {other_size}) >= {SIMILARITY[0]} * greatest({size}, {other_size}) AND bit_count({sketch} ^ {other_sketch}) <= {SKETCH}"
 
 
-def links(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
-    """(a, b): links of similar texts that share a signature, enough of them to connect all of them.
+def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (node, label) after the links (a, b): a round of components over what are components so far."""
+    of = {side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab"}
+    across = found.join(of["a"], "a").join(of["b"], "b").filter("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+    merged = components(across).select(F.col("node").alias("label"), F.col("label").alias("into"))
+    out = written(labels.join(merged, "label", "left").select("node", F.coalesce("into", "label").alias("label")), "labels")
+    dropped(labels)
+    return out
+
+
+def groups(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
+    """(node, label) of the texts that share a signature with another: the components of similar texts that do.
 
-    First a bucket's hub, its member with the most company over all buckets, is compared with the others; a text and its copies
-    mostly are one component then. Of buckets that still hold several components, small ones are compared as a whole, of large
-    ones members of the smallest components with all others; pairs within a component and pairs that were tested don't matter. A
-    member that met all others leaves, so nothing is lost and no bucket gives all its pairs while it is one component.
+    A bucket's hub is its member with the most company over all buckets. First each text is compared with the greatest hub that it
+    meets, which makes most groups of copies one component with a pair for each member; then with its other hubs, where their
+    components differ. Of buckets that still hold several components, small ones are compared as a whole, of large ones members of
+    the smallest components with all others; pairs within a component and pairs that were tested don't matter. A member that met
+    all others leaves, so nothing is lost and no bucket gives its pairs while it is one component.
     """
+    spark = rows.sparkSession
     member = ["node", "size", "sketch"]
-    node = rows.groupBy("node").agg(F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    keyed = written(node.select(*member, F.explode("keys").alias("key")), "keyed")
+    node = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "segments", "weak")]), "nodes")
+    keyed = node.select(*member, F.explode(F.expr(SIGNATURES)).alias("key"))
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    freed(spark)
     members = written(keyed.join(sizes.hint("merge"), "key"), "members")
-    dropped(keyed)
-    dropped(sizes)
-    company = members.groupBy("node").agg(F.sum("n").alias("company"))
+    for t in (node, sizes):
+        dropped(t)
+    freed(spark)
+    company = written(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
     hubs = members.join(company.hint("shuffle_hash"), "node").groupBy("key").agg(F.max(F.struct("company", *member)).alias("hub"))
     met = members.join(hubs.hint("merge"), "key").filter("node <> hub.node").filter(like("size", "sketch", "hub.size", "hub.sketch"))
-    # a hub of many pairs stays the left text while it is compared
-    pairs = written(met.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    open_ = members
-    found = tested = None
+    # a hub of many pairs is the left text while it is compared
+    met = written(met.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.max("hub.company").alias("company")), "met")
+    labels = written(company.select("node", F.col("node").alias("label")), "labels")
+    best = written(met.groupBy("b").agg(F.max(F.struct("company", "a")).alias("hub")).select("hub.a", "b"), "best")
+    labels = joined(labels, verified(best, docs, text_col))
+    freed(spark)
+    sides = [labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab"]
+    others = met.join(best, ["a", "b"], "left_anti").join(sides[0], "a").join(sides[1], "b").filter("label_a <> label_b")
+    pairs = written(others.select("a", "b"), "pairs")
+    open_, tested = members, met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     while True:
-        now = verified(pairs, docs, text_col)
-        found = now if found is None else written(found.union(now), "found")
-        own = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        tested = own if tested is None else written(tested.union(own), "tested")
-        labels = components(found)
-        weights = labels.groupBy("label").agg(F.count("*").alias("weight"))
-        labels = written(labels.join(weights, "label"), "weights")
-        named = open_.join(labels.hint("merge"), "node", "left").select("key", *member, F.coalesce("label", "node").alias("label"), F.coalesce("weight", F.lit(1)).alias("weight"))
-        named = written(named, "named")
+        if not pairs.isEmpty():
+            labels = joined(labels, verified(pairs, docs, text_col))
+        weights = labels.join(labels.groupBy("label").agg(F.count("*").alias("weight")), "label")
+        named = written(open_.select("key", *member).join(weights.hint("merge"), "node"), "named")
         mixed = named.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
         left = written(named.join(mixed.hint("merge"), "key").drop("low", "high"), "open")
         dropped(named)
         dropped(open_)
+        freed(spark)
         if left.isEmpty():
-            return found
+            return labels
         few = left.filter(F.col("n") <= small)
         other = few.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"), F.col("label").alias("label_b"))
         whole = few.join(other.hint("merge"), "key").filter("node < b AND label <> label_b").filter(like("size", "sketch", "size_b", "sketch_b")).select(F.col("node").alias("a"), "b")
@@ -179,6 +201,7 @@ def links(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL, l
         lead = large.filter(F.col("rank") <= leaders).select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"), F.col("label").alias("label_a"))
         star = large.join(lead.hint("merge"), "key").filter("node <> a AND label <> label_a").filter(like("size", "sketch", "size_a", "sketch_a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         pairs = written(whole.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        tested = written(tested.union(pairs), "tested")
         open_ = written(large.filter(F.col("rank") > leaders).select("key", *member), "rest")
         dropped(left)
         dropped(large)
@@ -192,7 +215,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = written(signed(docs, id_col, text_col), "signed")
     nodes = written(rows.groupBy("node").agg(F.min(id_col).alias("least")), "nodes")
-    labels = components(links(rows, docs, text_col, small, leaders))
+    labels = groups(rows, docs, text_col, small, leaders)
     rooted = nodes.join(labels, "node", "left").withColumn("root", F.coalesce("label", "node"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of = written(rooted.select("node", "root").join(least, "root").select("node", "component_id"), "component")
