@@ -267,15 +267,18 @@ def test_end_to_end(spark, tmp_path):
         run(spark, csv=str(tmp_path / "none.csv"))
 
 
-def test_stream(spark, tmp_path):
+@pytest.mark.parametrize("compact", [1, 20])
+def test_stream(spark, tmp_path, compact):
     from braid.streaming.updates import fuse_stream
 
     inbox = tmp_path / "in"
-    rows = [[("1", "csv", "Al"), ("2", "csv", "Bo")], [("1", "resume", "Alan")]]
+    rows = [[("1", "csv", "Al"), ("2", "csv", "Bo"), (None, "csv", "No")], [("1", "resume", "Alan")], [("2", "csv", "Bob"), ("1", "csv", "Al B. Alan")]]
     for i, batch in enumerate(rows):
         frame = aligned(spark.createDataFrame(batch, "candidate_key string, source string, name string"), "", 0)
         frame.coalesce(1).write.mode("append").parquet(str(inbox))
         stream = spark.readStream.schema(frame.schema).parquet(str(inbox))
-        fuse_stream(stream, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "check"), CFG, once=True).awaitTermination()
-    got = {(r.batch, r.candidate_key): r.full_name for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {(0, "1"): "Al", (0, "2"): "Bo", (1, "1"): "Alan"}
+        fuse_stream(stream, str(tmp_path / "state"), str(tmp_path / "out"), str(tmp_path / "check"), CFG, once=True, buckets=4, compact=compact).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {(r.batch, r.candidate_key): r.full_name for r in found} == {(0, "1"): "Al", (0, "2"): "Bo", (1, "1"): "Alan", (2, "1"): "Al B. Alan", (2, "2"): "Bob"}
+    assert {tuple(r.sources_used) for r in found if r.batch == 2} == {("csv", "resume"), ("csv",)}
+    assert all("No email found in any source" in r.warnings for r in found)
