@@ -73,18 +73,27 @@ def published(texts: list[tuple[str, str]]) -> list[tuple[str, str]]:
 KNOWN += published(KNOWN[:3] + [(f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))])
 #: Spellings that count as equal, after lower-casing and without punctuation.
 SPELLINGS = [("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("merchantibility", "merchantability"), ("copyright holder", "copyright owner"), ("per cent", "percent"), ("organisation", "organization"), ("favour", "favor"), ("https", "http")]
+#: Known texts that are broadcast at most: 100 bytes each.
+BROADCAST_TEXTS = 100_000
 COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|all rights reserved)[^\n]*$"
 NOT_WORD = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case; lines that start with a copyright notice go; punctuation and white space become one space; spellings are made one."""
+    """Lower case; lines that start with a copyright notice go; punctuation and white space become one space; spellings are made one.
+
+    While spellings are replaced, words stand two spaces apart, so that each has its own at both ends and none is skipped.
+    """
     out = F.regexp_replace(F.lower(text), "©", "(c)")
     out = F.regexp_replace(out, COPYRIGHT_LINE, " ")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, " ")), F.lit(" "))
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, "  ")), F.lit(" "))
     for a, b in SPELLINGS:
-        out = F.replace(out, F.lit(f" {a} "), F.lit(f" {b} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(apart(a)), F.lit(apart(b)))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
+
+
+def apart(words: str) -> str:
+    return f" {words.replace(' ', '  ')} "
 
 
 def known_digests(spark: SparkSession, known=None) -> DataFrame:
@@ -97,10 +106,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: id_col, digest of the canonical text, license (null if unknown).
 
     The whole canonical text has to equal a known one; a licence inside a longer text doesn't count. Null texts equal empty ones,
-    which match nothing. The known side has a row per known text, a fixed number, so it is broadcast. Nothing is shuffled.
+    which match nothing. Rows are scanned one by one, so repeated rows and null ids stay; a digest that several known texts have
+    goes to the least identifier. An empty table gives an empty result; other columns are ignored. The known side has a row per
+    known text; up to BROADCAST_TEXTS of them it is broadcast and nothing else is shuffled, beyond them it is joined by digest.
     """
+    listed = known_digests(docs.sparkSession, known)
+    few = len(KNOWN if known is None else known) <= BROADCAST_TEXTS
     digests = docs.select(F.col(id_col), F.sha2(canonical(text_or_empty(text_col)).cast("binary"), 256).alias("digest"))
-    return digests.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest", "left").select(id_col, "digest", "license")
+    return digests.join(F.broadcast(listed) if few else listed, "digest", "left").select(id_col, "digest", "license")
 
 
 def op6_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -109,10 +122,10 @@ def op6_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _canonical_sql(col: str) -> str:
     out = f"regexp_replace(regexp_replace(lower({col}), '©', '(c)', 'g'), '{COPYRIGHT_LINE}', ' ', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g')) || ' '"
+    out = f"' ' || trim(regexp_replace({out}, '{NOT_WORD}', '  ', 'g')) || ' '"
     for a, b in SPELLINGS:
-        out = f"replace({out}, ' {a} ', ' {b} ')"
-    return f"trim({out})"
+        out = f"replace({out}, '{apart(a)}', '{apart(b)}')"
+    return f"trim(replace({out}, '  ', ' '))"
 
 
 def _known_sql() -> str:
@@ -126,3 +139,24 @@ SELECT d.doc_id, d.digest, k.license
 FROM (SELECT doc_id, sha256({_canonical_sql("coalesce(text, '')")}) AS digest FROM documents) d
 LEFT JOIN digests k USING (digest)
 """
+
+
+def op6_license_forms(spark, sf_dir: str) -> DataFrame:
+    """The scan of known texts, one for each document by its id, as files carry them: under a copyright line, in capitals, with
+    another spelling, on a single line, or with a word too many (which is no known text any more)."""
+    texts = list(dict.fromkeys(KNOWN))
+    known = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "k int, known string")
+    d = documents(spark, sf_dir).select("doc_id", F.pmod("doc_id", F.lit(len(texts))).cast("int").alias("k"), F.pmod(F.floor(F.col("doc_id") / len(texts)), F.lit(4)).alias("form"))
+    t, form = F.col("known"), F.col("form")
+    text = F.when(form == 0, F.concat(F.lit("Copyright (c) 2020 Somebody\n\n"), t)).when(form == 1, F.upper(t)).when(form == 2, F.replace(t, F.lit("license"), F.lit("licence"))).otherwise(F.concat(F.lit("besides "), t))
+    return license_scan(d.join(known, "k").select("doc_id", text.alias("text")))
+
+
+OP6_FORMS_SQL = f"""
+WITH listed(i, license, text) AS (VALUES {", ".join("({}, '{}', '{}')".format(i, k, t.replace("'", "''")) for i, (k, t) in enumerate(dict.fromkeys(KNOWN)))}),
+digests AS (SELECT sha256({_canonical_sql('text')}) AS digest, min(license) AS license FROM listed GROUP BY 1),
+made AS (
+  SELECT doc_id, CASE doc_id // {len(dict.fromkeys(KNOWN))} % 4 WHEN 0 THEN 'Copyright (c) 2020 Somebody' || chr(10) || chr(10) || listed.text WHEN 1 THEN upper(listed.text) WHEN 2 THEN replace(listed.text, 'license', 'licence') ELSE 'besides ' || listed.text END AS text
+  FROM documents JOIN listed ON doc_id % {len(dict.fromkeys(KNOWN))} = i)
+SELECT m.doc_id, m.digest, d.license FROM (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM made) m LEFT JOIN digests d USING (digest)
+"""

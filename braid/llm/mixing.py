@@ -6,7 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from braid.llm.common import documents, text_or_empty, written
+from braid.llm.common import documents, fresh, text_or_empty, written
 
 #: Weights of the sources in code point order (null last), repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -34,7 +34,8 @@ def targets(sizes: DataFrame, weights, cap: float) -> DataFrame:
     """(src, no_src, source_size, klass, target): shares by weight, filled up to cap times the source's size.
 
     Sorted by cap * size / weight, the sources that stop at their cap are a prefix: level k is what a unit of weight gets when
-    the first k are at their caps, and the first k whose own ratio reaches its level ends the prefix. One row per source.
+    the first k are at their caps, and the first k whose own ratio reaches its level ends the prefix. One row per source: the
+    ranks over all sources are sorted in one task, so sources are meant to be collections (up to some millions), not addresses.
     """
     by_name = Window.orderBy("no_src", "src")
     by_ratio = Window.orderBy("ratio", "no_src", "src")
@@ -176,13 +177,14 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     copies = F.when(F.col("size") == 0, 1).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).cast("int")
     where = F.when(F.col("size") == 0, F.array(F.lit(None).cast("double"))).otherwise(F.slice("positions", F.lit(1), F.greatest(copies, F.lit(0))))
+    own, mixed, position = (fresh(docs, c) for c in ("__id", "__mix", "__position"))
     taken = (
         mix(docs, positions=True)
-        .select(F.col("doc_id").alias("__id"), F.struct(copies.alias("copies"), where.alias("where")).alias("__mix"))
-        .groupBy("__id")
-        .agg(F.max("__mix").alias("__mix"))
-        .filter("__mix.copies > 0")
+        .select(F.col("doc_id").alias(own), F.struct(copies.alias("copies"), where.alias("where")).alias(mixed))
+        .groupBy(own)
+        .agg(F.max(mixed).alias(mixed))
+        .filter(f"{mixed}.copies > 0")
     )
-    out = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken["__id"]))
-    out = out.withColumn("__position", F.explode("__mix.where")).orderBy("__position", docs["doc_id"])
+    out = docs.join(taken.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(taken[own]))
+    out = out.withColumn(position, F.explode(f"{mixed}.where")).orderBy(position, docs["doc_id"])
     return out.select(*[docs[c] for c in docs.columns])

@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_substring_dedup": substring_dedup.op4_substring_dedup,
         "op5_simhash": simhash.op5_simhash,
         "op6_license_scan": licenses.op6_license_scan,
+        "op6_license_forms": licenses.op6_license_forms,
         "op7_mixing": mixing.op7_mixing,
         "op7_mixing_passes": mixing.op7_mixing_passes,
         "op8_pii": pii.op8_pii,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_exact_dedup": exact_dedup.OP2_SQL,
         "op4_substring_dedup": substring_dedup.OP4_SQL,
         "op6_license_scan": licenses.OP6_SQL,
+        "op6_license_forms": licenses.OP6_FORMS_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op10_line_dedup": line_dedup.OP10_SQL,
     }

@@ -123,17 +123,20 @@ def links(distinct: DataFrame, bucket: int = BUCKET, distance: int = DISTANCE) -
     """
     spark, n = distinct.sparkSession, n_partitions(distinct.sparkSession)
     # few bytes each, but 64 rows of keys: dealt out before they grow, as small inputs end up in few partitions
-    found, crowd = [], distinct.repartition(n, "fp")
+    found, used, crowd = [], [], distinct.repartition(n, "fp")
     for level in (1, 2, 3):
         keyed = crowd.select("fp", F.expr(f"explode({variants(level)})").alias("k")).select("fp", "k.k1", "k.k2")
         sizes = written(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
         # merged, however small sizes is: both sides are exchanged, and the partition of a crowded key can be split
         members = written(keyed.join(sizes.hint("merge"), ["k1", "k2"]), "members")
         dropped(sizes)
+        used.append(members)
         found.append(written(bucket_links(members.filter(F.col("n") <= bucket) if level < 3 else members, n, distance), "found"))
         crowd = members.filter(F.col("n") > bucket).select("fp", "k1", "k2")
         if level == 3 or crowd.isEmpty():
             break
+    for members in used:
+        dropped(members)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

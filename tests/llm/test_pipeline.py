@@ -61,3 +61,28 @@ def test_pipeline(spark, tmp_path):
     file, pattern = bpe.rank_file()
     for x in out[:40]:
         assert list(x.ids) == bpe.Encoder(file, pattern).encode([text[x.doc_id]])[0].tolist() and x.n_tokens == len(x.ids)
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """Empty tables, nulls in every column, repeated ids and rows, and columns with the stages' own names."""
+    words = "one two three four five six seven eight nine ten eleven twelve".split()
+    clean = [(i, " ".join(words[i % 5 :] + [f"w{i}{k}" for k in range(20)]), "en", ["s", "t", None][i % 3], 1) for i in range(40)]
+    toxic = [(100 + i, " ".join(words[i % 7 :] + ["vilefool"] * 4 + [f"x{i}{k}" for k in range(20)]), "en", "s", 1) for i in range(40)]
+    rows = clean + toxic + [(None, None, None, None, None), (3, clean[3][1], "en", "s", 1), (3, "another text under that id", None, None, None), (200, "", "", "", 0), clean[5]]
+    spark.createDataFrame([(r[0], int(r[0] >= 100)) for r in clean + toxic], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    extra = ("__keep", "__id", "__mix", "__position", "label", "node", "size", "score")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"concat('{c}', doc_id) AS {c}" for c in extra])
+    frame, empty = docs, docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        frame = spark.createDataFrame(stage(spark, frame, str(tmp_path)).collect(), docs.schema)
+        kept = frame.collect()
+        assert frame.columns == docs.columns and {r.doc_id for r in kept} <= {r[0] for r in rows}, name
+        assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in kept for c in extra), name
+        assert stage(spark, empty, str(tmp_path)).collect() == [], name
+    ids = Counter(r.doc_id for r in kept)
+    assert not set(ids) & {r[0] for r in toxic} and len(set(ids) & set(range(40))) >= 30
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).collect() == []
+    assert Counter(r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).collect()) == ids
