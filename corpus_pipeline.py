@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from braid.llm import bpe, exact_dedup, mixing, near_simhash, toxicity
-from braid.llm.common import documents, written
+from braid.llm.common import documents, dropped, written
 
 STAGES = [
     ("toxicity", toxicity.stage),
@@ -22,7 +22,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
