@@ -146,7 +146,7 @@ def at_source(rows: DataFrame, asked: DataFrame, answer, schema: str) -> DataFra
             for doc, tag, items, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3).cast(pa.binary()).to_pylist()):
                 for column, values in zip(out, answer(doc, tag, items, text.split())):
                     column.extend(values)
-            kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+            kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
             return pa.RecordBatch.from_arrays([pa.array(x, kinds[k.split()[1]]) for x, k in zip(out, schema.split(", "))], names)
 
         return f
@@ -155,7 +155,8 @@ def at_source(rows: DataFrame, asked: DataFrame, answer, schema: str) -> DataFra
 
 
 def opened(rows: DataFrame, paths: DataFrame) -> DataFrame:
-    """(mh, sh, a, b, windows): the nodes before and after each unit, and of forked ones the hashes of their windows."""
+    """paths (mh, sh, doc, loc, fork) with a, b and windows: the nodes before and after each unit, and of forked ones the hashes of
+    their windows."""
 
     def answer(doc, tag, items, words):
         sequence = Sequence(word_hashes(words))
@@ -163,9 +164,10 @@ def opened(rows: DataFrame, paths: DataFrame) -> DataFrame:
         start, count = loc >> 4 & 0xFFFFFFFF, (loc & 15) + 1
         nodes = [sequence.of(x, x + K - 1).view(np.int64).tolist() for x in (start, start + count)]
         windows = [sequence.of(np.arange(s, s + n), np.arange(s, s + n) + K).view(np.int64).tolist() if x["fork"] else None for x, s, n in zip(items, start.tolist(), count.tolist())]
-        return [x["mh"] for x in items], [x["sh"] for x in items], *nodes, windows
+        return *([x[c] for x in items] for c in ("mh", "sh")), [doc] * len(items), *([x[c] for x in items] for c in ("loc", "fork")), *nodes, windows
 
-    return at_source(rows, paths.select("doc", F.expr(TAG_OF).alias("tag"), F.struct("mh", "sh", "loc", "fork").alias("item")), answer, "mh long, sh long, a long, b long, windows array<long>")
+    kind = {"bigint": "long"}.get(doc_type(rows), doc_type(rows))
+    return at_source(rows, paths.select("doc", F.expr(TAG_OF).alias("tag"), F.struct("mh", "sh", "loc", "fork").alias("item")), answer, f"mh long, sh long, doc {kind}, loc long, fork boolean, a long, b long, windows array<long>")
 
 
 def compacted(graph: DataFrame) -> DataFrame:
@@ -179,16 +181,19 @@ def compacted(graph: DataFrame) -> DataFrame:
     end = unit.groupBy(F.col("b").alias("node")).agg(F.count("*").alias("n_in"), F.max("id").alias("u"), F.max("fork").alias("fork_u")).filter("n_in = 1 AND NOT fork_u")
     begin = unit.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_out"), F.max("id").alias("v"), F.max("fork").alias("fork_v")).filter("n_out = 1 AND NOT fork_v")
     links = written(end.join(begin, "node").select("u", "v").filter("u <> v"), "links")
+    freed(graph.sparkSession)
     order = Window.partitionBy("doc", "tag").orderBy("start", "id")
     follows = (F.lag("id").over(order) == F.col("u")) & (F.lag(F.col("start") + F.col("n")).over(order) == F.col("start"))
     runs = unit.join(links.select("u", F.col("v").alias("id")), "id", "left").withColumn("head", F.when(F.coalesce(follows, F.lit(False)), None).otherwise(F.col("id")))
     runs = written(runs.withColumn("head", F.last("head", True).over(order.rowsBetween(Window.unboundedPreceding, 0))).select("id", "mh", "sh", "u", "head"), "runs")
+    for t in (unit, links):
+        dropped(t)
+    freed(graph.sparkSession)
     # links whose run goes on are within it; the others connect two runs
     outer = runs.filter("u IS NOT NULL AND head = id").select("u", F.col("head").alias("b")).join(runs.select(F.col("id").alias("u"), F.col("head").alias("a")), "u").filter("a <> b").select("a", "b")
     names = components(outer)
     out = written(runs.join(names.withColumnRenamed("node", "head"), "head", "left").select("mh", "sh", F.coalesce("label", "head").alias("path")), "compacted")
-    for t in (unit, links, runs):
-        dropped(t)
+    dropped(runs)
     return out
 
 
@@ -211,7 +216,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     forks = distinct.groupBy("mh").agg(F.count("*").alias("n")).select("mh", (F.col("n") > 1).alias("fork"))
     paths = written(distinct.join(forks, "mh"), "paths")
     dropped(distinct)
-    graph = written(opened(rows, paths).join(paths, ["mh", "sh"]), "graph")
+    freed(spark)
+    graph = written(opened(rows, paths), "graph")
     dropped(paths)
     freed(spark)
     names = compacted(graph)
@@ -221,9 +227,11 @@ def repeats(rows: DataFrame) -> DataFrame:
     earliest = written(windows.groupBy("mh", "wh").agg(F.min("place").alias("origin"), F.max("doc").alias("latest")).filter("origin.doc < latest").select("mh", "wh", "origin"), "earliest")
     partly = windows.join(earliest, ["mh", "wh"]).filter("origin.doc < doc").groupBy("mh", "sh").agg(F.collect_list(F.struct("i", "origin")).alias("partly"))  # 16 at most
     origin = F.struct("doc", F.expr(TAG_OF).alias("tag"), F.expr(START).alias("start"))
+    freed(spark)
     sources = written(graph.select("mh", "sh", origin.alias("origin")).join(names, ["mh", "sh"]).join(partly, ["mh", "sh"], "left"), "sources")
-    dropped(graph)
-    dropped(names)
+    for t in (graph, names, windows, earliest):
+        dropped(t)
+    freed(spark)
     later = known.filter("doc > first").join(sources, ["mh", "sh"]).select("doc", F.expr(TAG_OF).alias("tag"), F.expr(START).alias("start"), F.expr(COUNT).alias("n"), "path", "origin", "partly")
     whole = later.filter("origin.doc < doc").select("doc", "tag", "start", "n", "path", "origin")
     pieces = later.filter("origin.doc >= doc AND partly IS NOT NULL").select("doc", "tag", "start", F.explode("partly").alias("x"))
@@ -236,7 +244,7 @@ def repeats(rows: DataFrame) -> DataFrame:
     stretch = every.withColumn("new", new).withColumn("k", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     long = stretch.groupBy(*key, "k").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("n")).alias("end"))
     long = written(long.select("doc", "tag", "src", "src_tag", "start", (F.col("start") - F.col("shift")).alias("src_start"), (F.col("end") - F.col("start")).alias("n")), "long")
-    for t in (known, windows, earliest, sources):
+    for t in (known, sources):
         dropped(t)
     freed(spark)
     at = ["src", "src_tag", "src_start", "n"]
@@ -247,10 +255,12 @@ def repeats(rows: DataFrame) -> DataFrame:
 
     kind = {"bigint": "long"}.get(doc_type(rows), doc_type(rows))
     digests = written(at_source(rows, asked, answer, f"src {kind}, src_tag long, src_start long, n long, digest binary"), "digests")
+    freed(spark)
     told = long.join(digests.hint("merge"), at)
     out = written(told.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "n", "digest")).alias("spans")), "spans")
     for t in (long, digests):
         dropped(t)
+    freed(spark)
     return out
 
 

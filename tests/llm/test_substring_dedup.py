@@ -83,7 +83,7 @@ def test_paths_are_compacted(spark):
     known = substring_dedup.unit_rows(substring_dedup.text_rows(docs, "doc_id", "text"))
     distinct = known.groupBy("mh", "sh").agg(F.min(F.struct("doc", "loc")).alias("s")).select("mh", "sh", "s.doc", "s.loc")
     paths = distinct.withColumn("fork", F.count("*").over(substring_dedup.Window.partitionBy("mh")) > 1)
-    graph = substring_dedup.opened(substring_dedup.text_rows(docs, "doc_id", "text"), paths).join(paths, ["mh", "sh"])
+    graph = substring_dedup.opened(substring_dedup.text_rows(docs, "doc_id", "text"), paths)
     names = substring_dedup.compacted(graph).groupBy("path").count().collect()
     assert len(names) <= 4 + sum(x.fork for x in paths.collect()) and max(x["count"] for x in names) >= 25
 
