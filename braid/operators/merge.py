@@ -89,13 +89,20 @@ def _either(list_: Column, single: Column) -> Column:
     return F.concat(F.coalesce(list_, F.array().cast("array<string>")), _one(single))
 
 
+def _lead() -> Column:
+    """A record's first e-mail."""
+    return F.when(_some(F.col("emails")), truthy(F.get("emails", F.lit(0)))).otherwise(truthy(F.col("email")))
+
+
 def collected(profiles: DataFrame, cfg: FusionConfig) -> DataFrame:
     """(candidate_key, ps): a candidate's profiles by priority, then seq. A key's profiles are a handful, one per source; records
     without a key can't be fused and are dropped."""
     fields = [c for c in SOURCE_PROFILE if c != "candidate_key"]
     row = F.struct(priority(F.col("source"), cfg).alias("prio"), F.col("seq"), *[F.col(c) for c in fields if c != "seq"])
     order = F.struct(priority(F.col("source"), cfg).alias("prio"), F.col("seq"), F.xxhash64(row).alias("h"))
-    grouped = profiles.filter("candidate_key is not null").groupBy("candidate_key").agg(F.collect_list(F.struct(order.alias("o"), row.alias("p"))).alias("x"))
+    # what the rules read more than once is made here, once for each record and before the shuffle
+    ready = F.struct(row["prio"].alias("prio"), "seq", *[c for c in fields if c != "seq"], _either(F.col("phones"), F.col("phone")).alias("all_phones"), parse_location(F.col("location_raw")).alias("place"), trimmed(F.lower(_lead())).alias("lead"))
+    grouped = profiles.filter("candidate_key is not null").groupBy("candidate_key").agg(F.collect_list(F.struct(order.alias("o"), ready.alias("p"))).alias("x"))
     return grouped.select("candidate_key", F.transform(F.array_sort("x", lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)), lambda x: x["p"]).alias("ps"))
 
 
@@ -116,21 +123,18 @@ def merge_profiles(profiles: DataFrame, cfg: FusionConfig | None = None) -> Data
     def full(p):
         return F.coalesce(truthy(p["full_name"]), truthy(p["name"]))
 
-    def lead(p):
-        return F.when(_some(p["emails"]), truthy(F.get(p["emails"], F.lit(0)))).otherwise(truthy(p["email"]))
-
     def phones(p):
-        return _either(p["phones"], p["phone"])
+        return p["all_phones"]
 
     names = F.filter(F.transform(ps, lambda p, i: F.struct(F.length(full(p)).alias("n"), (-i).alias("i"), full(p).alias("v"), p["source"].alias("source"))), lambda x: x["v"].isNotNull())
-    leads = F.filter(F.transform(ps, lambda p, i: F.struct((-confidence(p["source"], "emails", cfg)).alias("c"), p["prio"], i.alias("i"), trimmed(F.lower(lead(p))).alias("v"), p["source"].alias("source"))), lambda x: x["v"].isNotNull())
+    leads = F.filter(F.transform(ps, lambda p, i: F.struct((-confidence(p["source"], "emails", cfg)).alias("c"), p["prio"], i.alias("i"), p["lead"].alias("v"), p["source"].alias("source"))), lambda x: x["v"].isNotNull())
     base = collected(profiles, cfg).select("candidate_key", "ps", F.array_max(names).alias("n"), F.array_min(leads).alias("e"), *[first_with(f).alias(f"p_{f}") for f in ("headline", "current_company", "current_title", "bio", "website")])
     base = base.withColumns(
         {
             "emails": F.when(F.col("e.v") != "", dedupe_ci(F.concat(F.array("e.v"), _flat(ps, lambda p: _either(p["emails"], p["email"]))))),
             "phones": dedupe_ci(_flat(ps, phones)),
             "p_phone": first(lambda p: F.size(phones(p)) > 0),
-            "p_location": first(lambda p: parse_location(p["location_raw"]).isNotNull()),
+            "p_location": first(lambda p: p["place"].isNotNull()),
             "p_linkedin": first(lambda p: (p["source"] == "linkedin") & truthy(p["profile_url"]).isNotNull()),
             "p_github": first(lambda p: (p["source"] == "github") & truthy(p["profile_url"]).isNotNull()),
             "p_links": first(lambda p: (p["source"].isin("linkedin", "github") & truthy(p["profile_url"]).isNotNull()) | truthy(p["website"]).isNotNull()),
@@ -189,7 +193,7 @@ def merge_profiles(profiles: DataFrame, cfg: FusionConfig | None = None) -> Data
         "full_name",
         F.coalesce("emails", empty).alias("emails"),
         "phones",
-        parse_location(F.col("p_location.location_raw")).alias("location"),
+        F.col("p_location.place").alias("location"),
         F.struct(F.col("p_linkedin.profile_url").alias("linkedin"), F.col("p_github.profile_url").alias("github"), F.col("p_website.website").alias("website")).alias("links"),
         F.col("p_headline.headline").alias("headline"),
         "years_experience",
