@@ -11,6 +11,8 @@ from braid.config import COUNTRIES, OTHER_CONFIDENCE, OTHER_WEIGHT, REGIONS, Fus
 DEFAULT = FusionConfig()
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 MONTH = "(jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
+TIME = r"(?:[t ]|(?<= ))[0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?: [0-9]+)?)?(?: ?[ap]m)?(?: ?(?:z|utc|gmt|[+-][0-9]{2}:?[0-9]{2}))?$"
+WEEKDAY = r"^(?:mon|tue|tues|wed|thu|thur|thurs|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday) (?=.)"
 EMAIL_FORM = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
 
 
@@ -65,8 +67,21 @@ def normalize_phone(raw: Column, cfg: FusionConfig = DEFAULT, need_plus: bool =
 
 
 def normalize_date(raw: Column) -> Column:
-    """YYYY-MM, 'present', or null. Month first unless that can't be; parts that are missing count as January and 2000."""
-    return let(trimmed(raw), lambda x: let(F.lower(F.trim(F.regexp_replace(x, r"[.,\s]+", " "))), lambda z: _month(x, z)))
+    """YYYY-MM, 'present', or null. Month first unless that can't be; parts that are missing count as January and 2000. Weekdays,
+    ordinals and times beside a date are passed over; years of two digits are those within 50 years of the current one."""
+
+    def plain(x: Column) -> Column:
+        z = F.lower(F.trim(F.regexp_replace(x, r"[.,\s]+", " ")))
+        for what, to in ((TIME, ""), (WEEKDAY, ""), (r"(?<=[0-9])(?:st|nd|rd|th)\b", ""), (r"(?<=[0-9]) of ", " ")):
+            z = F.regexp_replace(z, what, to)
+        return F.trim(z)
+
+    return let(trimmed(raw), lambda x: let(plain(x), lambda z: _month(x, z)))
+
+
+def full_year(two: Column) -> Column:
+    near, now = two + 2000, F.year(F.current_date())
+    return F.when(near >= now + 50, near - 100).otherwise(near)
 
 
 def _month(x: Column, z: Column) -> Column:
@@ -91,6 +106,11 @@ def _month(x: Column, z: Column) -> Column:
     out = F.when(x.rlike(r"^[0-9]{4}-[0-9]{2}$"), x).when(x.rlike("^[0-9]{4}$"), F.concat(x, F.lit("-01"))).when(F.lower(x).isin("present", "current", "now", "–"), F.lit("present"))
     for pattern, year, day in named_forms:
         out = out.when(z.rlike(pattern), made(F.lit(2000) if year is None else part(pattern, year), named, None if day is None else part(pattern, day)))
+    for pattern, year, day in ((rf"^{MONTH} ([0-9]{{1,2}}) '?([0-9]{{2}})$", 3, 2), (rf"^([0-9]{{1,2}}) {MONTH} '?([0-9]{{2}})$", 3, 1)):
+        out = out.when(z.rlike(pattern), made(full_year(part(pattern, year)), named, part(pattern, day)))
+    short = r"^([0-9]{1,2})[-/]([0-9]{1,2})[-/]([0-9]{2})$"
+    p, q, r = (part(short, k) for k in (1, 2, 3))
+    out = out.when(z.rlike(short), F.when(p > 31, made(full_year(p), q, r)).when(p > 12, made(full_year(r), q, p)).otherwise(made(full_year(r), p, q)))
     out = out.when(z.rlike(iso), F.when((part(iso, 3).isNull()) | part(iso, 3).between(1, 31), made(part(iso, 1), part(iso, 2))))
     out = out.when(z.rlike(month_year), made(part(month_year, 2), part(month_year, 1)))
     a, b = part(numbers, 1), part(numbers, 2)

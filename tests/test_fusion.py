@@ -39,6 +39,16 @@ def test_date(spark):
     assert each(spark, S.normalize_date, once) == once
 
 
+def test_dates_against_a_general_parser(spark):
+    """Forms beside the plain ones, as the general parser of the standard stack reads them."""
+    parser = pytest.importorskip("dateutil.parser")
+    from datetime import datetime
+
+    cases = ["Mon, 15 Mar 2020", "Sunday March 15 2020", "15th March 2020", "March 1st, 2020", "3rd of May 2019", "2020-03-15T10:20:30", "2020-03-15 10:20", "2020-03-15T10:20:30Z", "Mar 15 2020 7:05 pm", "12/31/2020 23:59", "Mar 15 98", "15 Mar '21", "3/15/20", "15/3/20", "98/03/15", "1/2/99", "Tue 2021-06-01", "2nd Jan 2001", "4 July 1999 08:00:00"]
+    expected = [parser.parse(x, default=datetime(2000, 1, 1)).strftime("%Y-%m") for x in cases]
+    assert dict(zip(cases, each(spark, S.normalize_date, cases))) == dict(zip(cases, expected))
+
+
 def test_skills(spark):
     assert each(spark, S.canonical_skill, ["ML", "Machine learning", "C Plus Plus", "c++", "C++ Programming", " Cooking "]) == ["Machine Learning", "Machine Learning", "C++", "C++", "C++", "Cooking"]
     assert each(spark, S.canonical_skills, [["ml", "x", "Machine Learning", "X"], [], None], "array<string>") == [["Machine Learning", "x", "X"], [], None]
