@@ -57,14 +57,15 @@ def csv_source(spark, d) -> DataFrame:
 
 
 def text_source(spark, d) -> DataFrame:
-    text, lines = F.col("text"), resume.split_lines(F.col("text"))
-    return table(spark, d, "documents").select(
-        F.col("doc_id").cast("string").alias("candidate_key"),
+    text, lines, key = F.col("text"), resume.split_lines(F.col("text")), F.col("doc_id").cast("string")
+    return table(spark, d, "documents").join(job_profiles(spark, d), key == F.col("candidate_key"), "left").select(
+        key.alias("candidate_key"),
         resume.first_email(text, False).alias("email"),
         resume.first_phone(text, False).alias("phone"),
         resume.name_line(lines, False).alias("name"),
         resume.first_place(text).alias("location_raw"),
         F.array(F.lit("python3"), F.col("lang"), F.col("source")).alias("skills"),
+        "experience",
     )
 
 
@@ -697,7 +698,9 @@ fields AS (""" + " UNION ALL ".join(
     ]
 ) + f""" UNION ALL SELECT k, 'skills', round(avg({confidence_sql('skills')}), 4), 0.8::DOUBLE FROM profiles WHERE len(skills) > 0 GROUP BY k
 UNION ALL SELECT c_custkey::VARCHAR, 'github_repos', {CFG.confidence('github', 'github_repos')}::DOUBLE, {_weight('github_repos')}::DOUBLE FROM customer JOIN top ON user_id = c_custkey
-UNION ALL SELECT c_custkey::VARCHAR, 'github_languages', {CFG.confidence('github', 'github_languages')}::DOUBLE, {_weight('github_languages')}::DOUBLE FROM customer JOIN spoken ON user_id = c_custkey)"""
+UNION ALL SELECT c_custkey::VARCHAR, 'github_languages', {CFG.confidence('github', 'github_languages')}::DOUBLE, {_weight('github_languages')}::DOUBLE FROM customer JOIN spoken ON user_id = c_custkey
+UNION ALL SELECT DISTINCT doc_id::VARCHAR, 'experience', {CFG.confidence('resume', 'experience')}::DOUBLE, {_weight('experience')}::DOUBLE FROM documents JOIN orders ON o_custkey = doc_id
+UNION ALL SELECT DISTINCT doc_id::VARCHAR, 'years_experience', {CFG.confidence('resume', 'years_experience')}::DOUBLE, {_weight('years_experience')}::DOUBLE FROM documents JOIN orders ON o_custkey = doc_id)"""
 
 
 @query(f"WITH {PROFILES}, {OVERALL_SQL}, overall AS (SELECT k, sum(c * w) / sum(w) AS o FROM fields GROUP BY k) SELECT k AS candidate_key, format('{{:.4f}}', o)::DOUBLE AS overall_confidence FROM overall")
@@ -788,6 +791,29 @@ def fused_profile(spark, d):
     return fused(spark, d).select("candidate_key", "candidate_id", "full_name", F.array_join("emails", "|").alias("emails"), F.array_join("phones", "|").alias("phones"), "headline", F.array_join("sources_used", "|").alias("sources_used"))
 
 
+EXPERIENCE_SQL = f"""WITH {BEST_JOBS_SQL} SELECT candidate_key, string_agg(e[1] || ';' || e[2] || ';' || e[3] || '-01;' || e[4] || ';' || e[5], '|' ORDER BY e[3] DESC, first) AS experience
+  FROM best JOIN documents ON doc_id::VARCHAR = candidate_key GROUP BY candidate_key"""
+
+MERGED_YEARS_SQL = f"""WITH {BEST_JOBS_SQL}, spans AS (SELECT candidate_key, unnest(range(e[3]::INT, greatest(e[3]::INT, CASE WHEN e[4] = 'present' THEN {AS_OF} ELSE left(e[4], 4)::INT END) + 1)) AS y FROM best)
+  SELECT candidate_key, count(DISTINCT y)::DOUBLE AS years FROM spans GROUP BY candidate_key"""
+
+
+@query(f"""SELECT candidate_key, candidate_id, full_name, emails, phones, city, region, country, headline, current_company, current_title, bio, linkedin, github, l.website, profile_url, coalesce(skills, '') AS skills, coalesce(experience, '') AS experience,
+  CASE WHEN experience IS NOT NULL THEN years END AS years_experience, repos, languages, overall_confidence, warnings, f.sources_used
+FROM ({SQL['fused_profile']}) f JOIN ({SQL['merge_first_available']}) USING (candidate_key) JOIN ({SQL['merge_links_pivot']}) l USING (candidate_key) LEFT JOIN ({SQL['merge_location_first']}) USING (candidate_key)
+LEFT JOIN ({SQL['merge_skills_union']}) s USING (candidate_key) LEFT JOIN ({EXPERIENCE_SQL}) USING (candidate_key) LEFT JOIN ({MERGED_YEARS_SQL}) USING (candidate_key)
+JOIN ({SQL['merge_repos_languages']}) USING (candidate_key) JOIN ({SQL['overall_confidence']}) USING (candidate_key) JOIN ({SQL['validation_warnings']}) USING (candidate_key)""".replace("headline, current_company", "f.headline, current_company", 1))
+def whole_profile(spark, d):
+    """Every field of the canonical profiles but the education, which these sources don't have, and the maps, which have queries
+    of their own."""
+    entry = F.transform("experience", lambda e: F.concat_ws(";", e["title"], e["company"], e["start_date"], e["end_date"], F.coalesce(e["description"], F.lit(""))))
+    text = {"emails": "emails", "phones": "phones", "skills": "skills", "repos": "github_repos", "languages": "github_languages", "sources_used": "sources_used", "warnings": "warnings"}
+    return fused(spark, d).select(
+        "candidate_key", "candidate_id", "full_name", "location.city", "location.region", "location.country", "headline", "current_company", "current_title", "bio", "links.linkedin", "links.github", "links.website", "profile_url",
+        F.array_join(entry, "|").alias("experience"), "years_experience", "overall_confidence", *[F.array_join(c, "|" if k not in ("repos", "languages") else ",").alias(k) for k, c in text.items()],
+    )
+
+
 @query()
 def fused_json(spark, d):
     """The default output as JSON text, one per candidate."""
