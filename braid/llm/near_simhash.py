@@ -21,6 +21,11 @@ SEGMENTS, WIDTH, WILDCARDS = 40, 24, 6
 WORDS = 16
 #: Differing bits of the sketch's 64 at most. A similarity of 0.8 gives 10 on average, with a deviation of 3; unlike texts 32.
 SKETCH = 22
+#: Differing bits of all 1024 at most, where texts of different components are compared. A similarity of 0.8 gives 155 on average,
+#: with a deviation of 11.5; one of 0.65 gives 216.
+BITS = 196
+#: Texts of fewer shingles pass that test whatever their bits.
+SHORT = 50
 #: Buckets of up to so many members are compared whole, if their components differ; of larger ones, so many members a round.
 SMALL, LEADERS = 256, 64
 #: Shingles whose bits are summed at once: so many fit one byte.
@@ -139,6 +144,11 @@ def like(size: str, sketch: str, other_size: str, other_sketch: str) -> str:
     return f"{SIMILARITY[1]} * least({size}, {other_size}) >= {SIMILARITY[0]} * greatest({size}, {other_size}) AND bit_count({sketch} ^ {other_sketch}) <= {SKETCH}"
 
 
+def nearer() -> str:
+    """SQL: all bits of a member and of another (with _b) near enough, or texts so short that bits say little."""
+    return f"(least(size, size_b) < {SHORT} OR " + " + ".join(["bit_count(sketch ^ sketch_b)", *(f"bit_count(segments[{i}] ^ segments_b[{i}])" for i in range(SEGMENTS))]) + f" <= {BITS})"
+
+
 def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     """labels (node, label) after the links (a, b): a round of components over what are components so far."""
     of = {side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab"}
@@ -149,6 +159,15 @@ def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
+def paired(left: DataFrame, leaders: int, condition: str) -> DataFrame:
+    """Members of one bucket in different components that fulfil the condition: each with those after it in small buckets, which
+    have no ranks, and with the first so many in large ones."""
+    carried = [c for c in ("node", "size", "sketch", "label", "segments", "rank") if c in left.columns]
+    other = left.filter(F.col("rank").isNull() | (F.col("rank") <= leaders)).select("key", *[F.col(c).alias({"node": "b"}.get(c, f"{c}_b")) for c in carried])
+    once = "(rank IS NULL AND node < b OR rank IS NOT NULL AND node <> b)"
+    return left.join(other.hint("merge"), "key").filter(f"{once} AND label <> label_b AND {condition}")
+
+
 def groups(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
     """(node, label) of the texts that share a signature with another: the components of similar texts that do.
 
@@ -165,9 +184,9 @@ def groups(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL,
     sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     freed(spark)
     members = written(keyed.join(sizes.hint("merge"), "key"), "members")
-    for t in (node, sizes):
-        dropped(t)
+    dropped(sizes)
     freed(spark)
+    prints = node.select("node", "segments")
     company = written(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
     hubs = members.join(company.hint("shuffle_hash"), "node").groupBy("key").agg(F.max(F.struct("company", *member)).alias("hub"))
     met = members.join(hubs.hint("merge"), "key").filter("node <> hub.node").filter(like("size", "sketch", "hub.size", "hub.sketch"))
@@ -192,19 +211,21 @@ def groups(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL,
         dropped(open_)
         freed(spark)
         if left.isEmpty():
+            dropped(node)
             return labels
-        few = left.filter(F.col("n") <= small)
-        other = few.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"), F.col("label").alias("label_b"))
-        whole = few.join(other.hint("merge"), "key").filter("node < b AND label <> label_b").filter(like("size", "sketch", "size_b", "sketch_b")).select(F.col("node").alias("a"), "b")
         rank = F.row_number().over(Window.partitionBy("key").orderBy("weight", "node"))
-        large = written(left.filter(F.col("n") > small).withColumn("rank", rank), "large")
-        lead = large.filter(F.col("rank") <= leaders).select("key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"), F.col("label").alias("label_a"))
-        star = large.join(lead.hint("merge"), "key").filter("node <> a AND label <> label_a").filter(like("size", "sketch", "size_a", "sketch_a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-        pairs = written(whole.union(star).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        mixed, left = left, written(left.withColumn("rank", F.when(F.col("n") > small, rank)), "ranked")
+        dropped(mixed)
+        # which members have anyone near by the sketch; only they bring all their bits along
+        near = paired(left, leaders, like("size", "sketch", "size_b", "sketch_b"))
+        near = written(near.select("node").union(near.select(F.col("b").alias("node"))).distinct().join(prints, "node"), "near")
+        close = paired(left.join(near.hint("merge"), "node"), leaders, f"{like('size', 'sketch', 'size_b', 'sketch_b')} AND {nearer()}")
+        close = close.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+        pairs = written(close.join(tested, ["a", "b"], "left_anti"), "pairs")
+        dropped(near)
         tested = written(tested.union(pairs), "tested")
-        open_ = written(large.filter(F.col("rank") > leaders).select("key", *member), "rest")
+        open_ = written(left.filter(F.col("rank") > leaders).select("key", *member), "rest")
         dropped(left)
-        dropped(large)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
