@@ -82,18 +82,24 @@ def segments(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     return value, weak, int(np.packbits(bits[SEGMENTS * WIDTH :]).view(np.int64)[0])
 
 
+_AT = f"cast(i div {WILDCARDS} as int)"
+_KEY = f"shiftleft(cast({_AT} as bigint), 32) | shiftleft(cast(w as bigint), 24) | (cast(segments[{_AT}] as bigint) & ~shiftleft(1L, cast(w as int)))"
 #: SQL of the keys of the deletion variants: the segment's number, the deleted bit's, and the segment without it.
-SIGNATURES = f"""transform(weak, (w, i) -> shiftleft(cast(i div {WILDCARDS} as bigint), 32) | shiftleft(cast(w as bigint), 24)
-  | (cast(segments[cast(i div {WILDCARDS} as int)] as bigint) & ~shiftleft(1L, cast(w as int))))"""
+SIGNATURES = f"transform(weak, (w, i) -> {_KEY})"
+#: SQL of the keys with forms: which bits of the segment are deleted somewhere, and above them the bit that is deleted here.
+FORMS = f"transform(weak, (w, i) -> struct({_KEY} as key, masks[{_AT}] | shiftleft(shiftright(segments[{_AT}], cast(w as int)) & 1, {WIDTH}) as form))"
+#: SQL: the first of the keys that a member and its hub share in a segment. Where the deleted bits differ there is no other; where
+#: they are the same, so are the segments, and each bit that both delete somewhere is one.
+FIRST = f"(shiftright(form ^ hub.form, {WIDTH}) = 1 OR (form & hub.form & (shiftleft(1, cast(shiftright(key, 24) & 255 as int)) - 1)) = 0)"
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, node, size, sketch, segments, weak): a hash of the text, its number of distinct shingles, and what its signatures are
+    """(id_col, node, size, sketch, segments, weak, masks): a hash of the text, its number of distinct shingles, and what its signatures are
     made of, which is a tenth of their size."""
 
     def make():
         def f(batch):
-            size, sketch, values, weak = [], [], [], []
+            size, sketch, values, weak, masks = [], [], [], [], []
             for t in batch.column(2).cast(pa.binary()).to_pylist():
                 margin, n = sums(t)
                 v, w, s = segments(margin)
@@ -101,15 +107,16 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 sketch.append(s)
                 values.append(v)
                 weak.append(w.ravel())
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * n, pa.int32()), pa.array(np.concatenate(x), kind)) for x, n, kind in ((values, SEGMENTS, pa.int32()), (weak, SEGMENTS * WILDCARDS, pa.int8()))]
+                masks.append(np.bitwise_or.reduce(1 << w, axis=1))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1) * n, pa.int32()), pa.array(np.concatenate(x), kind)) for x, n, kind in ((values, SEGMENTS, pa.int32()), (weak, SEGMENTS * WILDCARDS, pa.int8()), (masks, SEGMENTS, pa.int32()))]
             columns = [batch.column(0), batch.column(1), pa.array(size, pa.int32()), pa.array(sketch, pa.int64()), *lists]
-            return pa.RecordBatch.from_arrays(columns, [id_col, "node", "size", "sketch", "segments", "weak"])
+            return pa.RecordBatch.from_arrays(columns, [id_col, "node", "size", "sketch", "segments", "weak", "masks"])
 
         return f
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col), F.xxhash64(text).alias("node"), text.alias("__text"))
-    return over_texts(rows, "__text", make, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, node long, size int, sketch long, segments array<int>, weak array<tinyint>")
+    return over_texts(rows, "__text", make, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, node long, size int, sketch long, segments array<int>, weak array<tinyint>, masks array<int>")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
@@ -144,6 +151,13 @@ def like(size: str, sketch: str, other_size: str, other_sketch: str) -> str:
     return f"{SIMILARITY[1]} * least({size}, {other_size}) >= {SIMILARITY[0]} * greatest({size}, {other_size}) AND bit_count({sketch} ^ {other_sketch}) <= {SKETCH}"
 
 
+def meetings(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The members (key, node, size, sketch, form) with the hub of their bucket, where it may be similar: once for each segment in
+    which they meet, not for each of its keys. A hub that is left out at a key is in the bucket of the first one, whose hub is it
+    or has more company."""
+    return members.join(hubs.hint("merge"), "key").filter(f"node <> hub.node AND {FIRST}").filter(like("size", "sketch", "hub.size", "hub.sketch"))
+
+
 def nearer() -> str:
     """SQL: all bits of a member and of another (with _b) near enough, or texts so short that bits say little."""
     return f"(least(size, size_b) < {SHORT} OR " + " + ".join(["bit_count(sketch ^ sketch_b)", *(f"bit_count(segments[{i}] ^ segments_b[{i}])" for i in range(SEGMENTS))]) + f" <= {BITS})"
@@ -179,19 +193,17 @@ def groups(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL,
     """
     spark = rows.sparkSession
     member = ["node", "size", "sketch"]
-    node = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "segments", "weak")]), "nodes")
-    keyed = node.select(*member, F.explode(F.expr(SIGNATURES)).alias("key"))
-    sizes = written(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    node = written(rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("size", "sketch", "segments", "weak", "masks")]), "nodes")
+    sizes = written(node.select(F.explode(F.expr(SIGNATURES)).alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     freed(spark)
-    members = written(keyed.join(sizes.hint("merge"), "key"), "members")
+    members = written(node.select(*member, F.inline(F.expr(FORMS))).join(sizes.hint("merge"), "key"), "members")
     dropped(sizes)
     freed(spark)
     prints = node.select("node", "segments")
     company = written(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
-    hubs = members.join(company.hint("shuffle_hash"), "node").groupBy("key").agg(F.max(F.struct("company", *member)).alias("hub"))
-    met = members.join(hubs.hint("merge"), "key").filter("node <> hub.node").filter(like("size", "sketch", "hub.size", "hub.sketch"))
+    hubs = members.join(company.hint("shuffle_hash"), "node").groupBy("key").agg(F.max(F.struct("company", *member, "form")).alias("hub"))
     # a hub of many pairs is the left text while it is compared
-    met = written(met.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.max("hub.company").alias("company")), "met")
+    met = written(meetings(members, hubs).groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.max("hub.company").alias("company")), "met")
     labels = written(company.select("node", F.col("node").alias("label")), "labels")
     best = written(met.groupBy("b").agg(F.max(F.struct("company", "a")).alias("hub")).select("hub.a", "b"), "best")
     labels = joined(labels, verified(best, docs, text_col))

@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from braid.llm import near_simhash
@@ -85,3 +86,19 @@ def test_recall_of_similar_pairs():
             hits += bool(ka & kb) and ((sa ^ sb) & (1 << 64) - 1).bit_count() <= near_simhash.SKETCH
             total += 1
     assert hits >= 0.97 * total, hits / total
+
+
+def test_a_hub_is_met_once_a_segment(spark):
+    """Near copies share most keys of a segment; the join with the hub gives a row for the segment, and the same pairs."""
+    r = random.Random(3)
+    base = [r.choice("abcdefghijklmnopqrst") * r.randrange(1, 5) for _ in range(200)]
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(r.sample(range(200), 30))]
+    node = near_simhash.signed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    members = node.selectExpr("node", "size", "sketch", f"inline({near_simhash.FORMS})").cache()
+    plain = members.selectExpr("key", "node AS hub_node")
+    hubs = members.groupBy("key").agg(F.max(F.struct("node", "size", "sketch", "form")).alias("hub"))
+    got = near_simhash.meetings(members, hubs).selectExpr("key >> 32 AS segment", "node", "hub.node AS hub").collect()
+    assert len(got) == len(set(got)) > 0
+    top = max(x.node for x in node.collect())
+    shared = plain.filter(plain.hub_node == top).join(members, "key").filter(f"node <> {top}").selectExpr("key >> 32 AS segment", "node", f"{top}L AS hub" if top >= 0 else f"({top}L) AS hub")
+    assert {x for x in got if x.hub == top} == set(shared.collect()) and shared.count() > 1.5 * len(set(shared.collect()))
