@@ -165,6 +165,8 @@ class FusionConfig:
     region: str = "US"
     name_threshold: float = 85.0
     low_confidence: float = 0.4
+    #: Parts of places lose spaces at their ends and no other white space, as SQL's trim does it.
+    places_trim_spaces_only: bool = False
     #: The year that open-ended experience reaches to; None is the current one.
     as_of: int | None = None
 

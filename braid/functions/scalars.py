@@ -131,9 +131,11 @@ def canonical_skills(raw: Column, cfg: FusionConfig = DEFAULT) -> Column:
     return F.array_distinct(F.transform(raw, lambda s: canonical_skill(s, cfg)))
 
 
-def parse_location(raw: Column) -> Column:
-    """struct<city, region, country>; null for blank text. Two parts are a US place if the second is two capitals."""
-    return let(trimmed(raw), lambda text: let(F.filter(F.transform(F.split(text, ","), trimmed), lambda p: p != ""), lambda parts: _place(text, parts)))
+def parse_location(raw: Column, spaces_only: bool = False) -> Column:
+    """struct<city, region, country>; null for blank text. Two parts are a US place if the second is two capitals. spaces_only: other
+    white space than spaces stays at the ends of parts."""
+    strip = F.trim if spaces_only else trimmed
+    return let(strip(raw), lambda text: let(F.filter(F.transform(F.split(text, ","), lambda p: strip(p)), lambda p: p != ""), lambda parts: _place(text, parts)))
 
 
 def _place(text: Column, parts: Column) -> Column:

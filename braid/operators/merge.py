@@ -101,7 +101,7 @@ def collected(profiles: DataFrame, cfg: FusionConfig) -> DataFrame:
     row = F.struct(priority(F.col("source"), cfg).alias("prio"), F.col("seq"), *[F.col(c) for c in fields if c != "seq"])
     order = F.struct(priority(F.col("source"), cfg).alias("prio"), F.col("seq"), F.xxhash64(row).alias("h"))
     # what the rules read more than once is made here, once for each record and before the shuffle
-    ready = F.struct(row["prio"].alias("prio"), "seq", *[c for c in fields if c != "seq"], _either(F.col("phones"), F.col("phone")).alias("all_phones"), parse_location(F.col("location_raw")).alias("place"), trimmed(F.lower(_lead())).alias("lead"))
+    ready = F.struct(row["prio"].alias("prio"), "seq", *[c for c in fields if c != "seq"], _either(F.col("phones"), F.col("phone")).alias("all_phones"), parse_location(F.col("location_raw"), cfg.places_trim_spaces_only).alias("place"), trimmed(F.lower(_lead())).alias("lead"))
     grouped = profiles.filter("candidate_key is not null").groupBy("candidate_key").agg(F.collect_list(F.struct(order.alias("o"), ready.alias("p"))).alias("x"))
     return grouped.select("candidate_key", F.transform(F.array_sort("x", lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)), lambda x: x["p"]).alias("ps"))
 
