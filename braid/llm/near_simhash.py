@@ -92,6 +92,11 @@ FORMS = f"transform(weak, (w, i) -> struct({_KEY} as key, masks[{_AT}] | shiftle
 #: they are the same, so are the segments, and each bit that both delete somewhere is one.
 FIRST = f"(shiftright(form ^ hub.form, {WIDTH}) = 1 OR (form & hub.form & (shiftleft(1, cast(shiftright(key, 24) & 255 as int)) - 1)) = 0)"
 
+#: SQL: the deleted bits of the keys that two members share in segment j, and whether a key is the first they share in any segment.
+_SHARED = "CASE bit_count(segments[{j}] ^ segments_b[{j}]) WHEN 0 THEN masks[{j}] & masks_b[{j}] WHEN 1 THEN masks[{j}] & masks_b[{j}] & (segments[{j}] ^ segments_b[{j}]) ELSE 0 END"
+_SEGMENT = "cast(shiftright(key, 32) as int)"
+FIRST_OF_ALL = f"(({_SHARED.format(j=_SEGMENT)}) & (shiftleft(1, cast(shiftright(key, 24) & 255 as int)) - 1)) = 0 AND forall(slice(array({', '.join(map(str, range(SEGMENTS)))}), 1, {_SEGMENT}), j -> ({_SHARED.format(j='j')}) = 0)"
+
 
 def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, node, size, sketch, segments, weak, masks): a hash of the text, its number of distinct shingles, and what its signatures are
@@ -173,13 +178,28 @@ def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
     return out
 
 
-def paired(left: DataFrame, leaders: int, condition: str) -> DataFrame:
-    """Members of one bucket in different components that fulfil the condition: each with those after it in small buckets, which
-    have no ranks, and with the first so many in large ones."""
-    carried = [c for c in ("node", "size", "sketch", "label", "segments", "rank") if c in left.columns]
-    other = left.filter(F.col("rank").isNull() | (F.col("rank") <= leaders)).select("key", *[F.col(c).alias({"node": "b"}.get(c, f"{c}_b")) for c in carried])
-    once = "(rank IS NULL AND node < b OR rank IS NOT NULL AND node <> b)"
-    return left.join(other.hint("merge"), "key").filter(f"{once} AND label <> label_b AND {condition}")
+def others(rows: DataFrame) -> DataFrame:
+    """The rows as the other members of their buckets: node is b there, other columns end in _b."""
+    return rows.select(*[F.col(c).alias({"key": "key_b", "node": "b"}.get(c, f"{c}_b")) for c in ("key", "node", "size", "sketch", "label", "rank", "segments", "masks") if c in rows.columns])
+
+
+def neighbours(left: DataFrame, leaders: int) -> DataFrame:
+    """(node) of the members that have one near by size and sketch among those they are compared with. A member counts once in its
+    bucket, however many are near."""
+    led, like_other = f"rank <= {leaders}", f"key = key_b AND label <> label_b AND {like('size', 'sketch', 'size_b', 'sketch_b')}"
+    met = left.join(others(left.filter(f"rank IS NULL OR {led}")).hint("merge"), F.expr(f"{like_other} AND node <> b"), "left_semi")
+    leading = left.filter(led).join(others(left.filter(f"rank > {leaders}")).hint("merge"), F.expr(like_other), "left_semi")
+    return met.select("node").union(leading.select("node")).distinct()
+
+
+def paired(left: DataFrame, leaders: int) -> DataFrame:
+    """Members of one bucket in different components that are near by all bits: each with those after it in small buckets, which
+    have no ranks, and with those before it among the first so many in large ones. Two members that share many keys make a row at
+    the first of them only: its bucket is open until it is one component or they have been compared there."""
+    once = "(rank IS NULL AND node < b OR rank_b < rank)"
+    near = f"{like('size', 'sketch', 'size_b', 'sketch_b')} AND {nearer()}"
+    other = others(left.filter(F.col("rank").isNull() | (F.col("rank") <= leaders)))
+    return left.join(other.hint("merge"), F.expr(f"key = key_b AND {once} AND label <> label_b AND {near} AND {FIRST_OF_ALL}"))
 
 
 def groups(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL, leaders: int = LEADERS) -> DataFrame:
@@ -199,7 +219,7 @@ def groups(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL,
     members = written(node.select(*member, F.inline(F.expr(FORMS))).join(sizes.hint("merge"), "key"), "members")
     dropped(sizes)
     freed(spark)
-    prints = node.select("node", "segments")
+    prints = node.select("node", "segments", "masks")
     company = written(members.groupBy("node").agg(F.sum("n").alias("company")), "company")
     hubs = members.join(company.hint("shuffle_hash"), "node").groupBy("key").agg(F.max(F.struct("company", *member, "form")).alias("hub"))
     # a hub of many pairs is the left text while it is compared
@@ -229,9 +249,8 @@ def groups(rows: DataFrame, docs: DataFrame, text_col: str, small: int = SMALL,
         mixed, left = left, written(left.withColumn("rank", F.when(F.col("n") > small, rank)), "ranked")
         dropped(mixed)
         # which members have anyone near by the sketch; only they bring all their bits along
-        near = paired(left, leaders, like("size", "sketch", "size_b", "sketch_b"))
-        near = written(near.select("node").union(near.select(F.col("b").alias("node"))).distinct().join(prints, "node"), "near")
-        close = paired(left.join(near.hint("merge"), "node"), leaders, f"{like('size', 'sketch', 'size_b', 'sketch_b')} AND {nearer()}")
+        near = written(neighbours(left, leaders).join(prints, "node"), "near")
+        close = paired(left.join(near.hint("merge"), "node"), leaders)
         close = close.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         pairs = written(close.join(tested, ["a", "b"], "left_anti"), "pairs")
         dropped(near)

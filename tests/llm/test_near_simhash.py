@@ -2,6 +2,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -102,3 +103,25 @@ def test_a_hub_is_met_once_a_segment(spark):
     top = max(x.node for x in node.collect())
     shared = plain.filter(plain.hub_node == top).join(members, "key").filter(f"node <> {top}").selectExpr("key >> 32 AS segment", "node", f"{top}L AS hub" if top >= 0 else f"({top}L) AS hub")
     assert {x for x in got if x.hub == top} == set(shared.collect()) and shared.count() > 1.5 * len(set(shared.collect()))
+
+
+def test_rounds_make_no_row_for_each_shared_key(spark):
+    """Members of one bucket in different components: finding those with company gives a row a member, and a pair that shares many
+    keys is compared at the first of them only, in small buckets as in large ones."""
+    r = random.Random(4)
+    base = [r.choice("abcdefghijklmnopqrst") * r.randrange(1, 5) for _ in range(200)]
+    rows = [(i, " ".join([*base[:k], f"x{i}", *base[k + 1 :]])) for i, k in enumerate(r.sample(range(200), 30))]
+    node = near_simhash.signed(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    members = node.select("node", "size", "sketch", "segments", "masks", F.col("node").alias("label"), F.explode(F.expr(near_simhash.SIGNATURES)).alias("key"), F.dense_rank().over(Window.orderBy("node")).alias("place")).cache()
+    keys = {}
+    for x in members.collect():
+        keys.setdefault(x.node, set()).add(x.key)
+    expected = {(a, b) for a in keys for b in keys if a < b and keys[a] & keys[b]}
+    place = {x: i + 1 for i, x in enumerate(sorted(keys))}
+    for leaders, rank in ((64, F.lit(None).cast("int")), (4, F.col("place"))):
+        left = members.withColumn("rank", rank)
+        wanted = {p for p in expected if leaders == 64 or min(place[x] for x in p) <= leaders}
+        got = [tuple(sorted(x)) for x in near_simhash.paired(left, leaders).select("node", "b").collect()]
+        assert len(got) == len(set(got)) and set(got) == wanted and len(wanted) > 100
+        assert {x.node for x in near_simhash.neighbours(left, leaders).collect()} == {x for p in wanted for x in p}
+    assert sum(len(keys[a] & keys[b]) for a, b in expected) > 5 * len(expected)
